@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from collatrix.llm import components, mixing, survivor, tokens
+from collatrix.llm import components, lookalikes, mixing, survivor, tokens
 from collatrix.session import table
 
 
@@ -22,6 +22,18 @@ def p3_records(spark: SparkSession, d: str) -> DataFrame:
     return survivor.surviving_records(table(spark, d, "item_snaps"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.disguised(table(spark, d, "authority_records"))
+
+
+def p7_forms(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.consistent_forms(table(spark, d, "authority_records"))
+
+
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.skeleton_groups(table(spark, d, "authority_records"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_texts(table(spark, d, "documents"))
 
@@ -46,8 +58,8 @@ def oracle_sql() -> dict[str, str]:
 
 P2_FOUND = """
 WITH RECURSIVE rows_ AS (
-  SELECT list_distinct(list_filter(item_keys, x -> x IS NOT NULL)) AS k FROM candidates
-  UNION ALL SELECT list_distinct(list_filter(member_keys, x -> x IS NOT NULL)) FROM cluster_jobs
+  SELECT list_distinct(list_filter(item_keys, lambda x: x IS NOT NULL)) AS k FROM candidates
+  UNION ALL SELECT list_distinct(list_filter(member_keys, lambda x: x IS NOT NULL)) FROM cluster_jobs
 ), stars AS (SELECT list_min(k) AS a, unnest(k) AS b FROM rows_ WHERE len(k) > 0),
 edges AS (SELECT DISTINCT a, b FROM stars UNION SELECT DISTINCT b, a FROM stars),
 reach(id, root) AS (SELECT DISTINCT a, a FROM edges UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.id WHERE r.root < e.b)
