@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from collatrix.llm import components, lookalikes, mixing, survivor, tokens
+from collatrix.llm import components, lookalikes, mixing, sentences, survivor, tokens
 from collatrix.session import table
 
 
@@ -46,6 +46,10 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this package by its name."""
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit() and callable(v)}
