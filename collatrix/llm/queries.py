@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from collatrix.llm import components, lookalikes, mixing, sentences, survivor, tokens
+from collatrix.llm import components, lookalikes, markup, mixing, sentences, survivor, tokens
 from collatrix.session import table
 
 
@@ -22,6 +22,14 @@ def p3_records(spark: SparkSession, d: str) -> DataFrame:
     return survivor.surviving_records(table(spark, d, "item_snaps"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.marked_up(table(spark, d, "items"))
+
+
+def p5_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.clean_fields(table(spark, d, "items")).drop("value")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.disguised(table(spark, d, "authority_records"))
 
