@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from collatrix.llm import components, lookalikes, markup, mixing, sentences, survivor, tokens
+from collatrix.llm import components, lookalikes, markup, mixing, names, sentences, survivor, tokens
 from collatrix.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.name_links(table(spark, d, "creator_names"), table(spark, d, "authority_records"))
+
+
+def p1_owners(spark: SparkSession, d: str) -> DataFrame:
+    return names.owners(table(spark, d, "creator_names"), table(spark, d, "authority_records"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return components.match_groups(table(spark, d, "candidates"), table(spark, d, "cluster_jobs"))
 
