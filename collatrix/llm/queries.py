@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from collatrix.llm import components, lookalikes, markup, mixing, names, sentences, survivor, tokens
+from collatrix.llm import components, lookalikes, markup, mixing, names, repeats, sentences, survivor, tokens
 from collatrix.session import table
 
 
@@ -38,6 +38,14 @@ def p5_clean(spark: SparkSession, d: str) -> DataFrame:
     return markup.clean_fields(table(spark, d, "items")).drop("value")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return repeats.repeat_pairs(table(spark, d, "authority_records"))
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    return repeats.work_groups(table(spark, d, "authority_records"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.disguised(table(spark, d, "authority_records"))
 
