@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from collatrix.llm import components, lookalikes, markup, mixing, names, repeats, sentences, survivor, tokens
+from collatrix.llm import components, lookalikes, markup, matching, mixing, names, repeats, sentences, survivor, tokens
 from collatrix.session import table
 
 
@@ -30,6 +30,14 @@ def p3_records(spark: SparkSession, d: str) -> DataFrame:
     return survivor.surviving_records(table(spark, d, "item_snaps"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return matching.matched_records(table(spark, d, "items"), table(spark, d, "authority_records"))
+
+
+def p4_matches(spark: SparkSession, d: str) -> DataFrame:
+    return matching.matched_with_confidence(table(spark, d, "items"), table(spark, d, "authority_records"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return markup.marked_up(table(spark, d, "items"))
 
