@@ -1,15 +1,208 @@
-"""All queries of the core operators by name, and their SQL."""
+"""All queries of the core operators by name, and the SQL to check them with."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from collatrix.functions import text
+from collatrix.operators import agreement, audit, citekeys, dedup, ingest, merge, pairs, quality
+from collatrix.plans.oracle import SQL
+from collatrix.session import table
+from collatrix.sources import sinks
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _joined(df: DataFrame, *arrays: str) -> DataFrame:
+    for c in arrays:
+        df = df.withColumn(c, F.array_join(c, ","))
+    return df
+
+
+def dedup_scan(spark: SparkSession, d: str) -> DataFrame:
+    return _joined(dedup.with_reason(dedup.clusters(table(spark, d, "items"))), "item_keys", "conflicts")
+
+
+def dedup_counts(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.cluster_counts(dedup.clusters(table(spark, d, "items")))
+
+
+def item_keys_normalised(spark: SparkSession, d: str) -> DataFrame:
+    k = dedup.keyed(dedup.latest(table(spark, d, "items")))
+    return k.select("item_key", "doi", "title_key", "year", "author", F.array_join("surnames", ",").alias("surnames"), "subtitle", "parts", "edition")
+
+
+def pair_scores(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.candidates(table(spark, d, "items"))
+
+
+def pair_scores_top(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.top(pairs.candidates(table(spark, d, "items")))
+
+
+def keyword_search(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.keyword_search(table(spark, d, "items"), "survey harvest")
+
+
+def agreement_facts(spark: SparkSession, d: str) -> DataFrame:
+    c, a = agreement.candidates_of(table(spark, d, "items")), agreement.authorities_of(table(spark, d, "authority_records"))
+    return agreement.facts(agreement.lookup_by_doi(c, a))
+
+
+def agreement_scores(spark: SparkSession, d: str) -> DataFrame:
+    c, a = agreement.candidates_of(table(spark, d, "items")), agreement.authorities_of(table(spark, d, "authority_records"))
+    return agreement.scores(agreement.lookup_by_doi(c, a))
+
+
+def consensus_fields(spark: SparkSession, d: str) -> DataFrame:
+    return agreement.consensus_fields(table(spark, d, "authority_records"))
+
+
+def composed_fields(spark: SparkSession, d: str) -> DataFrame:
+    items, records = table(spark, d, "items"), table(spark, d, "authority_records")
+    c, a = agreement.candidates_of(items), agreement.authorities_of(records)
+    accepted = agreement.facts(agreement.lookup_by_doi(c, a)).select("cand", (F.col("id_agreement") & ~F.col("id_disagreement")).alias("accept"))
+    return agreement.composed(items, records, accepted)
+
+
+def merge_sets(spark: SparkSession, d: str) -> DataFrame:
+    snap = merge.snapshot(merge.plan(table(spark, d, "cluster_jobs")), table(spark, d, "items"))
+    return _joined(merge.projected_sets(snap), "collections", "tags", "relations")
+
+
+def merge_fields(spark: SparkSession, d: str) -> DataFrame:
+    return merge.projected_fields(merge.snapshot(merge.plan(table(spark, d, "cluster_jobs")), table(spark, d, "items")), smart_fill=True)
+
+
+def merge_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Checks of every job, each item in one job only (its first), against the table as it stands after all merges."""
+    items, jobs = table(spark, d, "items"), merge.plan(table(spark, d, "cluster_jobs"))
+    first = jobs.groupBy("member").agg(F.min("job_id").alias("first")).join(jobs, "member")
+    alone = first.groupBy("job_id").agg(F.bool_and(F.col("first") == F.col("job_id")).alias("alone")).filter("alone").select("job_id")
+    members = jobs.join(alone, "job_id", "left_semi")
+    return merge.checks(members, items, merge.applied(items, members))
+
+
+def merge_undo(spark: SparkSession, d: str) -> DataFrame:
+    items, members = table(spark, d, "items"), merge.plan(table(spark, d, "cluster_jobs"))
+    return merge.undo(members, items, items)
+
+
+def version_differences(spark: SparkSession, d: str) -> DataFrame:
+    """Fields in which the earliest delivery of an item differs from the latest."""
+    items = table(spark, d, "items").filter("item_key is not null")
+    cols = ["title", "pub_date", "doi", "volume", "citation_key", "extra"]
+    old = items.groupBy("item_key").agg(F.min_by(F.struct(*cols), F.struct("version", "date_modified", *cols)).alias("r")).select("item_key", "r.*")
+    new = items.groupBy("item_key").agg(F.max_by(F.struct(*cols), F.struct("version", "date_modified", *cols)).alias("r")).select("item_key", "r.*")
+    return merge.field_differences(old, new, "item_key", cols)
+
+
+def citekey_collisions(spark: SparkSession, d: str) -> DataFrame:
+    return citekeys.collisions(table(spark, d, "items"))
+
+
+def citekey_items(spark: SparkSession, d: str) -> DataFrame:
+    return citekeys.colliding_items(table(spark, d, "items"))
+
+
+def citekey_report(spark: SparkSession, d: str) -> DataFrame:
+    return citekeys.report(table(spark, d, "items"))
+
+
+def alias_survival(spark: SparkSession, d: str) -> DataFrame:
+    return citekeys.alias_survival(table(spark, d, "items"))
+
+
+def log_activity_counts(spark: SparkSession, d: str) -> DataFrame:
+    return audit.activity_counts(table(spark, d, "prov_log"))
+
+
+def log_verify_rates(spark: SparkSession, d: str) -> DataFrame:
+    return audit.verify_rates(table(spark, d, "prov_log"))
+
+
+def log_daily_report(spark: SparkSession, d: str) -> DataFrame:
+    return audit.daily_report(table(spark, d, "prov_log"))
+
+
+def log_latest_per_item(spark: SparkSession, d: str) -> DataFrame:
+    return audit.latest_per_item(table(spark, d, "prov_log"))
+
+
+def log_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return audit.coverage(table(spark, d, "prov_log"))
+
+
+def log_late_lines(spark: SparkSession, d: str) -> DataFrame:
+    return audit.late_lines(table(spark, d, "prov_log"))
+
+
+def log_unanswered(spark: SparkSession, d: str) -> DataFrame:
+    return audit.unanswered(table(spark, d, "prov_log"), "merge_txn_intent", ["merge_txn_result", "merge_txn_rolled_back"], ["snapshot_id"])
+
+
+def log_failures(spark: SparkSession, d: str) -> DataFrame:
+    return audit.answered_failures(table(spark, d, "prov_log"), "acknowledge_verify_failure")
+
+
+def log_recent_merges(spark: SparkSession, d: str) -> DataFrame:
+    return audit.recent(table(spark, d, "prov_log"), "merge_txn_result").select("append_seq", "prov_id", "item_key", "snapshot_id")
+
+
+def library_health(spark: SparkSession, d: str) -> DataFrame:
+    return audit.library_health(table(spark, d, "items"))
+
+
+def validate_items(spark: SparkSession, d: str) -> DataFrame:
+    return _joined(quality.validated(table(spark, d, "items")), "issues", "warnings")
+
+
+def validate_buckets(spark: SparkSession, d: str) -> DataFrame:
+    return quality.bucket_counts(table(spark, d, "items"))
+
+
+def edited_tags(spark: SparkSession, d: str) -> DataFrame:
+    one = dedup.latest(table(spark, d, "items"))
+    return one.select("item_key", F.array_join(F.array_sort(quality.edit_tags(F.col("tags"), ["to check"], ["folklore"])), ",").alias("tags"))
+
+
+def document_facts(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.facts(table(spark, d, "documents"))
+
+
+def front_matter(spark: SparkSession, d: str) -> DataFrame:
+    f = ingest.front_matter(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", *[c.alias(k) for k, c in f.items()]).filter("title is not null or author is not null or year is not null")
+
+
+def item_summaries(spark: SparkSession, d: str) -> DataFrame:
+    one = dedup.latest(table(spark, d, "items"))
+    return one.select("item_key", text.summary(F.col("item_key"), F.col("creators"), F.col("pub_date"), F.col("title"), F.col("item_type")).alias("summary"))
+
+
+def write_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Size of each batch of 50 items."""
+    b = sinks.batches(dedup.latest(table(spark, d, "items")).select("item_key"), "item_key")
+    return b.groupBy("batch").agg(F.count("*").alias("n"), F.max("index").alias("last_index"))
+
+
+def blob_digests(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("text").alias("body"))
+    return sinks.new_blobs(docs, spark.createDataFrame([], "digest string")).select("digest", F.length("body").alias("n_chars"))
+
+
+def transaction_ids(spark: SparkSession, d: str) -> DataFrame:
+    jobs = table(spark, d, "cluster_jobs")
+    return jobs.select("job_id", sinks.content_id("TXN-", F.col("master"), F.array_join(F.array_sort(F.coalesce("secondaries", F.array().cast("array<string>"))), ",")).alias("txn_id"))
+
+
+def queries() -> dict[str, Query]:
+    skip = {"queries", "oracle_sql", "table"}
+    return {k: v for k, v in globals().items() if callable(v) and not k.startswith("_") and k not in skip and getattr(v, "__module__", "") == __name__}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
