@@ -18,9 +18,11 @@ STAND_INS = [
     "not specified", "unspecified", "not known", "no value", "empty", "blank", "untitled", "untitled document", "no title", "title missing",
     "o t", "ohne titel", "sin titulo", "sans titre", "microsoft word scan0001", "o o", "s l", "sine loco", "no place", "o j", "s d", "s a", "n d", "no date",
     "undated", "s n", "sine nomine", "publisher not identified", "place not identified", "date not identified", "no publisher",
-    "abstract missing", "no abstract available", "no abstract", "abstract not available", "pp", "p", "vol", "no", "doi", "https doi example", "https doi org",
+    "abstract missing", "no abstract available", "no abstract", "abstract not available", "doi", "https doi example", "https doi org",
     "http dx doi org", "anon", "anonymous", "unbekannt", "desconocido", "inconnu",
 ]
+# Labels that stand alone where the number after them is missing, by field.
+LABELS = {"pages": ["p", "pp", "s"], "volume": ["vol", "v", "bd"], "issue": ["no", "nr", "issue"]}
 #: Fields that hold short codes or numbers: there "4" is no shortened "42".
 CODE_FIELDS = ["volume", "issue", "pages", "number", "numberOfVolumes", "seriesNumber", "edition", "language", "ISBN", "ISSN"]
 #: What cutting leaves at the end of a shortened value.
@@ -38,8 +40,11 @@ def says_something(field: Column, value: Column) -> Column:
     """False for null, blank and mere stand-ins: no letter or digit, a word of STAND_INS, all zeros in a date or page range, a DOI without number."""
     words = F.trim(F.regexp_replace(F.lower(value), r"[^\p{L}\p{N}]+", " "))
     doi = F.lower(field) == "doi"
+    label = F.lit(False)
+    for f, ws in LABELS.items():
+        label = label | ((field == f) & words.isin(ws))
     return F.coalesce(
-        (words != "") & ~words.isin(STAND_INS)
+        (words != "") & ~words.isin(STAND_INS) & ~label
         & ~(F.lower(field).isin("date", "pages", "year") & words.rlike(r"^[0 ]+$"))
         & ~(doi & words.rlike(r"^((https?|doi|dx|org|example) )*(10)?$")),
         F.lit(False),
