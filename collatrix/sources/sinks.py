@@ -30,9 +30,9 @@ def failed_again(rows: DataFrame, results: DataFrame) -> DataFrame:
 def versioned_patch(target: DataFrame, patch: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(table after the patch, conflicts): rows whose version is the target's replace the patched columns and count one version up."""
     cols = [c for c in patch.columns if c not in (key, "version")]
-    p = patch.select(key, F.col("version").alias("_v"), *[F.col(c).alias(f"_{c}") for c in cols]).withColumn("_hit", F.lit(True))
+    p = patch.select(key, F.col("version").alias("__version"), *[F.col(c).alias(f"_{c}") for c in cols]).withColumn("_hit", F.lit(True))
     x = target.join(p, key, "left")
-    ok = F.col("_hit") & F.col("version").eqNullSafe(F.col("_v"))
+    ok = F.col("_hit") & F.col("version").eqNullSafe(F.col("__version"))
     done = x.select(*[F.when(ok, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in cols else F.when(ok, F.col("version") + 1).otherwise(F.col("version")).alias(c) if c == "version" else F.col(c) for c in target.columns])
     conflicts = patch.join(target.select(key, F.col("version").alias("_now")), key, "left").filter(~F.col("version").eqNullSafe(F.col("_now"))).drop("_now")
     return done, conflicts
