@@ -46,7 +46,7 @@ def _folding() -> tuple[str, str, str, dict[str, str]]:
         if len(plain) == 1 and plain != c:
             one.append(c)
             to.append(plain)
-        elif len(plain) > 1 and (ord(c) < 0x250 or 0xFB00 <= ord(c) <= 0xFB06 or 0x2000 <= ord(c) <= 0x2122):
+        elif len(plain) > 1 and (ord(c) < 0x250 or 0xFB00 <= ord(c) <= 0xFB06 or 0x2000 <= ord(c) <= 0x2188):
             several[c] = plain
     return "".join(one), "".join(to), "".join(marks), several
 
