@@ -90,6 +90,20 @@ def test_pair_scores_match_brute_force(spark, sf):
     assert ("K0", "K3") in {(r["key_a"], r["key_b"]) for r in pairs.candidates(df).collect()}
 
 
+def test_pair_candidates_miss_no_pair(spark, sf):
+    df = items(
+        spark, {"title": "Pots near Mozudeth", "doi": "10.1/x"}, {"title": "Quite other words", "doi": "10.1/X ", "authors": ["Jones"]}, {"title": "Rivertrade inn Perru"}, {"title": "River trade in Peru", "authors": ["Smyth"]},
+        {"title": "River trades in Perus", "authors": ["Li"]}, {"title": "River tradez in Peruz", "authors": ["Wu"]}, {"title": "?!", "authors": []}, {"title": "..", "authors": [None]}, {"title": None}, {"title": "River trade", "pub_date": None, "authors": [None]})
+    for lib in (df, table(spark, sf, "items").limit(150)):
+        lib = lib.localCheckpoint()
+        rec = dedup.latest(lib).select("item_key", F.struct("title", "doi", "pub_date", "creators").alias("r"))
+        every = pairs.scored(rec.select(F.col("item_key").alias("key_a"), F.col("r").alias("a")).join(rec.select(F.col("item_key").alias("key_b"), F.col("r").alias("b")), F.col("key_a") < F.col("key_b")))
+        for least in (0.65, 0.5):
+            want = {(r["key_a"], r["key_b"], r["score"]) for r in every.filter(F.col("score") >= least).select("key_a", "key_b", "score").collect()}
+            assert want
+            assert {tuple(r) for r in pairs.candidates(lib, least).collect()} == want
+
+
 def test_agreement(spark):
     lib = items(spark, {"item_key": "A", "doi": "10.1/a", "publication_title": "J"}, {"item_key": "B", "doi": "10.1/b"}, {"item_key": "C", "doi": None})
     schema = "rec_id long, source string, title string, year string, doi string, container_title string, item_type string, creators array<struct<creatorType string, firstName string, lastName string, name string>>"
