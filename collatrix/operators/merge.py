@@ -143,6 +143,15 @@ def checks(members: DataFrame, before: DataFrame, after: DataFrame, children_bef
     return out
 
 
+def by_job(members: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``members`` and their items with keys led by the job, so that each job has its own copy of an item that several share."""
+    own = lambda c: F.concat_ws("/", F.col("job_id").cast("string"), c)
+    one = members.select("job_id", "member").distinct().join(latest(items), F.col("member") == F.col("item_key"))
+    copies = one.select(*[own(F.col(c)).alias(c) if c == "item_key" else F.col(c) for c in items.columns])
+    keyed = members.withColumn("fields", F.transform_values("fields", lambda _, v: F.when(v.isNotNull(), own(v))))
+    return keyed.withColumn("master", own(F.col("master"))).withColumn("member", own(F.col("member"))), copies
+
+
 def applied(items: DataFrame, members: DataFrame, smart_fill: bool = False) -> DataFrame:
     """The items table after all merges: survivors with their projected fields and sets, the others in the trash.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from collatrix.functions import text
 from collatrix.operators import agreement, audit, citekeys, dedup, ingest, merge, pairs, quality
 from collatrix.plans.oracle import SQL
-from collatrix.session import table
+from collatrix.session import stage, table
 from collatrix.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,12 +78,10 @@ def merge_fields(spark: SparkSession, d: str) -> DataFrame:
 
 
 def merge_checks(spark: SparkSession, d: str) -> DataFrame:
-    """Checks of every job, each item in one job only (its first), against the table as it stands after all merges."""
-    items, jobs = table(spark, d, "items"), merge.plan(table(spark, d, "cluster_jobs"))
-    first = jobs.groupBy("member").agg(F.min("job_id").alias("first")).join(jobs, "member")
-    alone = first.groupBy("job_id").agg(F.bool_and(F.col("first") == F.col("job_id")).alias("alone")).filter("alone").select("job_id")
-    members = jobs.join(alone, "job_id", "left_semi")
-    return merge.checks(members, items, merge.applied(items, members))
+    """Checks of every job, each against its items as they stand after that merge alone."""
+    members, items = merge.by_job(merge.plan(table(spark, d, "cluster_jobs")), table(spark, d, "items"))
+    members, items = stage(members, "merge-members"), stage(items, "merge-items")  # read many times
+    return merge.checks(members, items, stage(merge.applied(items, members), "merge-applied"))
 
 
 def merge_undo(spark: SparkSession, d: str) -> DataFrame:
@@ -200,7 +198,7 @@ def transaction_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    skip = {"queries", "oracle_sql", "table"}
+    skip = {"queries", "oracle_sql", "stage", "table"}
     return {k: v for k, v in globals().items() if callable(v) and not k.startswith("_") and k not in skip and getattr(v, "__module__", "") == __name__}
 
 

@@ -151,6 +151,17 @@ def test_merge_and_its_checks(spark):
     assert steps == {"M": "revert", "S": "restore"}
 
 
+def test_every_job_is_checked(spark, tmp_path):
+    from collatrix.plans import catalogue
+
+    items(spark, {"item_key": "A"}, {"item_key": "B", "title": "B", "relations": {"dc:replaces": ["A"]}}, {"item_key": "C", "title": "C"}).write.parquet(f"{tmp_path}/items.parquet")
+    jobs = [(1, ["A", "B"], "A", {"title": "B"}), (2, ["B", "C"], "B", {"title": "C"}), (3, ["C", "A"], "A", None), (4, ["A", "gone"], "gone", None)]
+    spark.createDataFrame(jobs, "job_id long, member_keys array<string>, master string, field_sources map<string,string>").write.parquet(f"{tmp_path}/cluster_jobs.parquet")
+    got = catalogue.merge_checks(spark, str(tmp_path)).collect()
+    assert {j: sum(r["job_id"] == j for r in got) for j in (1, 2, 3, 4)} == {1: 8, 2: 8, 3: 8, 4: 1}
+    assert {(r["job_id"], r["number"]) for r in got if not r["passed"]} == {(4, 0)}
+
+
 def test_citekeys(spark):
     lib = items(spark, {"item_key": "A", "citation_key": "k"}, {"item_key": "B", "extra": "citation key: k"}, {"item_key": "C", "citation_key": "z"}, {"item_key": "D", "relations": {"dc:replaces": ["http://x/items/A/", "http://x/items/Q"]}, "extra": "tex.ids: k"})
     r = citekeys.report(lib).first()
