@@ -62,12 +62,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")  # what was shuffled for this table isn't needed once it is written
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
     _STAGED.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
 
 
 _STAGED: list[tuple[SparkSession, str]] = []
+#: Removes the shuffle files of a query as it ends, instead of when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -85,15 +94,14 @@ def drop_stages() -> None:
             pass
 
 
-def release(df: DataFrame) -> None:
-    """Delete the staged table behind ``df`` (as returned by ``stage``) once a later round has replaced it."""
-    for path in df.inputFiles()[:1]:
-        base = path.rsplit("/", 1)[0]
-        for i, (spark, p) in enumerate(_STAGED):
-            if p.split("://")[-1].rstrip("/").endswith(base.rsplit("/", 1)[-1]):
-                _STAGED.pop(i)
-                _delete(spark, p)
-                return
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables (as ``stage`` returned them) that nothing still to be run reads; other DataFrames are left alone."""
+    for df in tables:
+        path = getattr(df, "_staged_at", None)
+        entry = next((x for x in _STAGED if x[1] == path), None)
+        if entry is not None:
+            _STAGED.remove(entry)
+            _delete(*entry)
 
 
 atexit.register(drop_stages)
