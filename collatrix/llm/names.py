@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from collatrix.llm.components import components
@@ -32,6 +32,8 @@ PREFIX = Q + 2
 THRESHOLD = 0.72
 #: A given name is established if it makes up this share of all given names; different established names never match.
 ESTABLISHED = 1e-3
+#: A misspelling is at least this many times rarer than what it stands for.
+RARER = 2
 #: A token counts as a given name if it makes up this share of them; at most 1 / SHARE tokens can.
 SHARE = 1e-5
 
@@ -350,6 +352,14 @@ def similar_tokens(tokens: DataFrame) -> DataFrame:
     return pairs.filter((d <= 1) | ((d == 2) & (F.length("a") == F.length("b")) & (letters(F.col("a")) == letters(F.col("b")))))
 
 
+def misspelt(rare: Column, common: Column) -> Column:
+    """Whether a spelling that occurs ``rare`` times may be an error for one that occurs ``common`` times.
+
+    A matter of proportion, alike at every size of the data; a spelling seen once is never established.
+    """
+    return (rare <= 1) | (rare * RARER <= common)
+
+
 def linked_forms(names: DataFrame, records: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """(members: name_id, sig; groups: sig, root)."""
     sc = names.sparkSession.sparkContext
@@ -374,8 +384,8 @@ def linked_forms(names: DataFrame, records: DataFrame | None) -> tuple[DataFrame
 
     similar = similar_tokens(rare.select("t").distinct())
     d1, d2 = df.select(F.col("t").alias("a"), F.col("df").alias("da")), df.select(F.col("t").alias("b"), F.col("df").alias("db"))
-    # an error makes a rare spelling: of two names that both occur often, neither is the other mistyped
-    similar = stage(similar.join(d1, "a").join(d2, "b").filter(F.least("da", "db") <= 3).select("a", "b"), "p1-similar")
+    # an error makes a rare spelling: of two names that occur about as often, neither is the other mistyped
+    similar = stage(similar.join(d1, "a").join(d2, "b").filter(misspelt(F.least("da", "db"), F.greatest("da", "db"))).select("a", "b"), "p1-similar")
     both = similar.unionByName(similar.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
     letter = F.when(

@@ -20,12 +20,14 @@ from collatrix.llm.lookalikes import consistent_form, language_around
 from collatrix.llm.markup import SUSPECT, clean
 from collatrix.llm.names import ORG_WORDS, _given_names, compare, fold, near, parse
 
-# Words that carry no content, in the languages of the tables.
+# Articles, prepositions and conjunctions of the languages of the tables. Only words of closed classes: a list by
+# document frequency would take in words such as "early" or "new", by which titles differ.
 STOP = {
-    *"a an the of and in at on for to from with by some before through".split(), *"el la los las de del en y e un una sobre desde al".split(),
-    *"le les l d des du et dans sur un une sources".split(), *"der die das und in im bei zu zur von aus den dem eine ein u".split(), *"и в на о об из с близ".split(),
-    *"local early new".split(),
+    *"a an the of and in at on for to from with by".split(), *"el la los las de del en y e un una sobre desde al".split(),
+    *"le les l d des du et dans sur un une".split(), *"der die das und in im bei zu zur von aus den dem eine ein u".split(), *"и в на о об из с близ".split(),
 }
+# Short spellings of words too frequent to be told by their rarity.
+SPELLED = {"thru": "through", "tho": "though"}
 # How titles name works about another work, by language.
 ABOUT = re.compile(
     r"^(?:(review|rezension|rez|besprechung|resena|recension|compte rendu|recensione|рецензия|书评)|(reply|response|rejoinder|antwort|erwiderung|respuesta|replica|reponse|ответ)|"
@@ -80,7 +82,7 @@ def _words(text: str) -> list[str]:
                 out += [run[i : i + 2] for i in range(max(1, len(run) - 1))]
             out += re.findall(r"\d+", w)
         else:
-            out.append(w)
+            out.append(SPELLED.get(w, w))
     return out
 
 
@@ -304,64 +306,49 @@ def slim(creators: Column) -> Column:
     return F.coalesce(F.transform(F.filter(creators, lambda c: c.isNotNull()), lambda c: F.struct(c["firstName"], c["lastName"], c["name"])), F.array().cast(_CREATORS)).cast(_CREATORS)
 
 
-def prepared(records: DataFrame, given) -> DataFrame:
-    """id, data (JSON of ``comparable``), doi, words, mains, names, name_keys, year, venue of each record.
+_PREPARED = "data string, doi string, about string, part string, cut boolean, words array<string>, mains array<string>, names array<string>, orgs array<array<string>>, year int, venue array<string>"
+
 
-    ``names``: family names of persons and the telling words of organisations; ``name_keys``: the same with such words in
-    pairs, as one of them alone stands in the names of many organisations.
+def prepared(records: DataFrame, given) -> DataFrame:
+    """id, data (JSON of ``comparable``), doi, about, part, cut, words, mains, names, orgs, year, venue of each record.
 
+    ``names``: family names of persons; ``orgs``: of each organisation the words that tell it apart.
     ``records``: id (long or string), title, year, doi, venue, kind, creators as ``slim`` gives them. Nulls are allowed anywhere.
     """
     kind = records.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = given.value
+        strings = pa.list_(pa.string())
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 b = batch.slice(at, 1024)
                 rows = [comparable(*v, g) for v in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True)]
-                names, keys = [], []
-                for r in rows:
-                    ws, ks = set(), set()
-                    for c in r["c"]:
-                        if c["kind"] == "p":
-                            ws.add("".join(c["family"]))
-                            ks.add("".join(c["family"]))
-                        else:
-                            told = sorted({w for w in c["family"] if len(w) > 4 and not ORG_WORDS.match(w)})
-                            ws.update(told)
-                            ks.update(f"{x}+{y}" for i, x in enumerate(told) for y in told[i + 1 :]) if len(told) > 1 else ks.update(told)
-                    names.append(sorted(ws))
-                    keys.append(sorted(ks))
-                strings = pa.list_(pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array([json.dumps(r, ensure_ascii=False) for r in rows], pa.string()), pa.array([r["doi"] for r in rows], pa.string()),
-                     pa.array([sorted({w for w in r["w"] if w not in STOP and len(w) > 1}) for r in rows], strings), pa.array([sorted({w for w in r["m"] if w not in STOP and len(w) > 1}) for r in rows], strings),
-                     pa.array(names, strings), pa.array(keys, strings), pa.array([r["y"] for r in rows], pa.int32()), pa.array([r["v"] for r in rows], strings)],
-                    ["id", "data", "doi", "words", "mains", "names", "name_keys", "year", "venue"])
-
-    picked = records.select("id", "title", "year", "doi", "venue", "kind", "creators")
-    return picked.mapInArrow(run, f"id {kind}, data string, doi string, words array<string>, mains array<string>, names array<string>, name_keys array<string>, year int, venue array<string>")
-
-
-#: A pair of words of an organisation tells little if another of its pairs is this many times rarer.
-COMMON_PAIR = 20
-
-
-def telling(prepared: DataFrame) -> DataFrame:
-    """``prepared`` with those ``name_keys`` only that tell organisations apart.
-
-    Of the pairs of words of one organisation, those with its place are rare and those of its subject alone are common; a
-    common pair leaves if a far rarer one shares a word with it. Counts are over the whole table.
+                content = lambda ws: sorted({w for w in ws if w not in STOP and len(w) > 1})
+                persons = [sorted({"".join(c["family"]) for c in r["c"] if c["kind"] == "p"}) for r in rows]
+                orgs = [[ws for c in r["c"] if c["kind"] == "o" for ws in [sorted({w for w in c["family"] if len(w) > 4 and not ORG_WORDS.match(w)})] if ws] for r in rows]
+                cols = [
+                    pa.array([json.dumps(r, ensure_ascii=False) for r in rows], pa.string()), pa.array([r["doi"] for r in rows], pa.string()), pa.array([r["about"] for r in rows], pa.string()),
+                    pa.array([",".join(map(str, r["part"])) for r in rows], pa.string()), pa.array([r["cut"] for r in rows], pa.bool_()), pa.array([content(r["w"]) for r in rows], strings), pa.array([content(r["m"]) for r in rows], strings),
+                    pa.array(persons, strings), pa.array(orgs, pa.list_(strings)), pa.array([r["y"] for r in rows], pa.int32()), pa.array([r["v"] for r in rows], strings),
+                ]
+                yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["id", *(c.strip().split(" ")[0] for c in _PREPARED.split(", "))])
+
+    return records.select("id", "title", "year", "doi", "venue", "kind", "creators").mapInArrow(run, f"id {kind}, {_PREPARED}")
+
+
+def may_match(a: str, b: str, trusted: bool = True) -> Column:
+    """What ``same_work`` needs at least of two prepared records (columns of the aliases a and b), without their words.
+
+    Of texts about works the same mark; no two different DOIs; no two different parts, unless an end is missing; years at most two apart.
     """
-    keys = prepared.select("id", F.explode("name_keys").alias("k"))
-    df = keys.groupBy("k").agg(F.count("*").alias("df"))
-    lists = keys.join(df, "k").groupBy("id").agg(F.collect_list(F.struct("df", "k")).alias("ks"))
-    parts = lambda x: F.split(x["k"], r"\+")
-    rarer = lambda x: F.exists("ks", lambda y: (y["df"] * COMMON_PAIR < x["df"]) & F.arrays_overlap(parts(x), parts(y)))
-    kept = lists.select(F.col("id").alias("_id"), F.array_sort(F.transform(F.filter("ks", lambda x: ~(x["k"].contains("+") & rarer(x))), lambda x: x["k"])).alias("_keys"))
-    x = prepared.join(kept, prepared.id == F.col("_id"), "left")
-    return x.withColumn("name_keys", F.coalesce("_keys", F.array().cast("array<string>"))).drop("_id", "_keys")
+    c = lambda x, name: F.col(f"{x}.{name}")
+    # equal, or one cut: then both have the least length of a cut one and begin alike
+    doi = F.coalesce(F.left(c(a, "doi"), F.lit(14)) == F.left(c(b, "doi"), F.lit(14)), F.lit(True)) if trusted else F.lit(True)
+    known = F.coalesce(c(a, "doi") == c(b, "doi"), F.lit(False)) | F.coalesce((F.length(c(a, "doi")) >= 14) & (F.length(c(b, "doi")) >= 14) & (F.left(c(a, "doi"), F.lit(14)) == F.left(c(b, "doi"), F.lit(14))), F.lit(False))
+    part = (c(a, "part") == c(b, "part")) | (((c(a, "part") == "") | (c(b, "part") == "")) & (c(a, "cut") | c(b, "cut")))
+    year = F.coalesce(F.abs(c(a, "year") - c(b, "year")) <= 2, F.lit(True)) | known
+    return (c(a, "about") == c(b, "about")) & doi & part & year
 
 
 def scored(pairs: DataFrame, given, a_type: str, b_type: str, trusted: bool = True) -> DataFrame:
