@@ -69,11 +69,9 @@ def _peel(both: DataFrame) -> tuple[DataFrame, DataFrame, bool] | None:
     return reached, both.select("src", "dst"), False
 
 
-def _salted_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """``left`` joined with the one row per ``key`` of ``right``; rows of a hub's key are spread over SPLITS tasks."""
-    hot = left.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > HOT_DEGREE).select(key).withColumn("hot", F.lit(True))
-    if hot.isEmpty():
-        return left.join(right, key)
+def _salted_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """``left`` joined with the one row per ``key`` of ``right``; rows of a hub (``hot``: id) are spread over SPLITS tasks."""
+    hot = hot.select(F.col("id").alias(key), F.lit(True).alias("hot"))
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64(*left.columns), F.lit(SPLITS))).otherwise(F.lit(0)).cast("int")
     spread = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SPLITS - 1))).otherwise(F.array(F.lit(0)))
     l = left.join(hot, key, "left").withColumn("salt", salt).drop("hot")
@@ -85,11 +83,14 @@ def _contract(both: DataFrame) -> DataFrame:
     """(id, root) of every vertex that has a link, by rounds of minimum propagation and contraction."""
     labels = None
     while True:
-        hooks = both.groupBy("src").agg(F.min("dst").alias("to")).select(F.col("src").alias("id"), F.least("src", "to").alias("to"), F.lit(True).alias("moved"))
+        hooks = both.groupBy("src").agg(F.min("dst").alias("to"), F.count("*").alias("n")).select(F.col("src").alias("id"), F.least("src", "to").alias("to"), F.lit(True).alias("moved"), "n")
         hooks = stage(hooks, "p2-hooks")
+        hubs = hooks.filter(F.col("n") > HOT_DEGREE).select("id")
+        any_hub = not hubs.isEmpty()
+        meet = (lambda l, r, k, h=stage(hubs, "p2-hubs"): _salted_join(l, r, k, h)) if any_hub else (lambda l, r, k: l.join(r, k))
         while True:  # follow hooks to their ends; each pass doubles the distance
             ahead = hooks.select(F.col("id").alias("to"), F.col("to").alias("beyond"))
-            longer = stage(_salted_join(hooks.select("id", "to"), ahead, "to").select("id", F.col("beyond").alias("to"), (F.col("beyond") != F.col("to")).alias("moved")), "p2-hooks")
+            longer = stage(meet(hooks.select("id", "to"), ahead, "to").select("id", F.col("beyond").alias("to"), (F.col("beyond") != F.col("to")).alias("moved")), "p2-hooks")
             moved = longer.agg(F.bool_or("moved")).first()[0]
             release(hooks)
             hooks = longer
@@ -99,7 +100,7 @@ def _contract(both: DataFrame) -> DataFrame:
         newer = ends.select(F.col("root").alias("id"), F.col("end").alias("root")) if labels is None else labels.join(ends, "root", "left").select("id", F.coalesce("end", "root").alias("root"))
         newer = stage(newer, "p2-labels")
         a, b = hooks.select(F.col("id").alias("src"), F.col("to").alias("s")), hooks.select(F.col("id").alias("dst"), F.col("to").alias("d"))
-        fewer = stage(_salted_join(_salted_join(both.select("src", "dst"), a, "src"), b, "dst").filter("s <> d").select(F.col("s").alias("src"), F.col("d").alias("dst")).distinct(), "p2-links")
+        fewer = stage(meet(meet(both.select("src", "dst"), a, "src"), b, "dst").filter("s <> d").select(F.col("s").alias("src"), F.col("d").alias("dst")).distinct(), "p2-links")
         release(hooks, both, *([] if labels is None else [labels]))
         labels, both = newer, fewer
         if both.isEmpty():

@@ -121,23 +121,26 @@ def _prefixes(weighed: DataFrame, total: float, jaccard: dict[str, float], most:
     return s.drop("shares", "from", "need")
 
 
-def candidates(sets: DataFrame, facts: DataFrame, jaccard: dict[str, float] = JACCARD, most: int = MOST, trusted: bool = True) -> DataFrame:
+def candidates(sets: DataFrame, facts: DataFrame, jaccard: dict[str, float] = JACCARD, most: int = MOST) -> DataFrame:
     """(a, b), a < b: pairs of ids whose words may reach the similarity, that share a name or, if one has none, the year, and whose facts don't contradict.
 
     A record without title words meets those with the same names, year and first letter of the venue.
-    ``sets``: id, family, el, one row per element, as ``elements`` gives them; ``facts``: id, year, about, doi, part, cut, venue.
+    ``sets``: id, family, el, one row per element, as ``elements`` gives them; ``facts``: id, year, about, doi, part, cut, venue, and
+    side if records of several tables stand in one (see ``grouped``), which never meet.
     """
+    facts = facts if "side" in facts.columns else facts.withColumn("side", F.lit(0))
     words, people = sets.filter("family in ('m', 'w')"), sets.filter("family not in ('m', 'w')")
     total = float(max(facts.count(), 1))
     df = words.groupBy("family", "el").agg(F.count("*").alias("df"))
     s = stage(_prefixes(words.join(df, ["family", "el"]), total, jaccard, most), "p6-prefixes")
 
     # names: of an organisation the rarest words; of records without any the year, under which all dated records stand
+    people = people.join(facts.select("id", "side"), "id").select("id", "family", F.concat_ws("/", "side", "el").alias("el"))
     n_df = people.groupBy("el").agg(F.countDistinct("id").alias("df"))
     rank = F.row_number().over(Window.partitionBy("id", "family").orderBy("df", "el"))
     people = people.join(n_df, "el").withColumn("r", rank).filter((F.col("family") == "n") | (F.col("r") <= ORG_PREFIX)).select("id", F.col("el").alias("name"), "df").distinct()
     people = stage(people, "p6-people")
-    dated = facts.filter("year is not null").select("id", F.concat(F.lit("y:"), F.col("year").cast("string")).alias("name"))
+    dated = facts.filter("year is not null").select("id", F.concat_ws("/", "side", F.lit("y"), "year").alias("name"))
     in_year = dated.groupBy("name").agg(F.count("*").alias("df"))
     lone = dated.join(people.select("id").distinct(), "id", "left_anti").withColumn("asks", F.lit(True))
     years = dated.join(lone, ["id", "name"], "left").join(in_year, "name").select("id", "name", "df", F.coalesce("asks", F.lit(False)).alias("asks"))
@@ -151,45 +154,41 @@ def candidates(sets: DataFrame, facts: DataFrame, jaccard: dict[str, float] = JA
     pick = F.lit(1)
     for l in range(most, 0, -1):
         pick = F.when(cost[l - 1] <= least, F.lit(l)).otherwise(pick)
-    rows = stage(s.join(names, "id").select("family", "id", "name", "asks", pick.alias("pick"), "els", *[f"k{l}" for l in range(1, most + 1)]), "p6-rows")
+    # what must not contradict travels with the keys: the mark of texts about works in the key itself, the rest as numbers
+    told = facts.select("id", "year", F.coalesce("about", F.lit("")).alias("about"), F.xxhash64(F.left("doi", F.lit(14))).alias("doi"), F.col("doi").isNotNull().alias("known"),
+                        F.when(F.coalesce("part", F.lit("")) == "", 0).otherwise(F.xxhash64("part")).alias("part"), F.coalesce("cut", F.lit(False)).alias("cut"), "side")
+    told = told.withColumn("doi", F.when(F.col("known"), F.col("doi"))).drop("known")
+    kept = ["id", "year", "doi", "part", "cut", "side"]
+    lengths = [f"k{l}" for l in range(1, most + 1)]
+    rows = stage(s.join(names, "id").join(told, "id").select(*kept, "about", "family", "name", "asks", pick.alias("pick"), "els", *lengths), "p6-rows")
     levels = rows.filter("asks").groupBy("family", "name").agg(F.collect_set("pick").alias("levels"))
 
-    about = facts.select("id", "year", F.coalesce("about", F.lit("")).alias("about"), "doi", F.coalesce("part", F.lit("")).alias("part"), F.coalesce("cut", F.lit(False)).alias("cut"))
-    about = about.withColumn("doi", F.left("doi", F.lit(14)))
-
     def keys(of: DataFrame, level: Column) -> DataFrame:
-        x = of.select("family", "id", "name", level.alias("l"), "els", *[f"k{l}" for l in range(1, most + 1)])
+        x = of.select(*kept, level.alias("l"), F.xxhash64("family", "name", "about").alias("f"), "els", *lengths)
         hashed = F.array().cast("array<bigint>")
         for l in range(1, most + 1):
             hashed = F.when(F.col("l") == l, _tuples(F.slice("els", 1, F.col(f"k{l}")), l, lambda xs: F.xxhash64(*xs))).otherwise(hashed)
-        x = x.select("id", "l", "family", "name", F.explode(hashed).alias("h"))
-        return x.select("id", F.xxhash64("l", "family", "name", "h").alias("key")).join(about, "id")
+        return x.select(*kept, "l", "f", F.explode(hashed).alias("h")).select(*kept, F.xxhash64("l", "f", "h").alias("key"))
 
     untitled = facts.join(words.select("id").distinct(), "id", "left_anti").select("id").withColumn("bare", F.lit(True))
     crew = people.groupBy("id").agg(F.array_sort(F.collect_set("name")).alias("crew"))
-    whole = facts.filter("year is not null and venue is not null and size(venue) > 0").select("id", "year", F.left(F.get("venue", F.lit(0)), F.lit(1)).alias("v")).join(crew, "id")
-    whole = whole.select("id", F.xxhash64(F.lit("u"), "crew", "year", "v").alias("key")).join(untitled, "id", "left")
-    bare = whole.filter("bare").select("id", "key").join(about, "id")
-    full = whole.select("id", "key").join(about, "id")
+    whole = facts.filter("year is not null and venue is not null and size(venue) > 0").select("id", F.left(F.get("venue", F.lit(0)), F.lit(1)).alias("v")).join(crew, "id").join(told, "id")
+    whole = whole.select(*kept, F.xxhash64(F.lit("u"), "crew", "year", "v", "about").alias("key")).join(untitled, "id", "left")
+    bare, full = whole.filter("bare").select(*kept, "key"), whole.select(*kept, "key")
     probes = keys(rows.filter("asks"), F.col("pick")).unionByName(bare).alias("a")
     index = keys(rows.join(levels, ["family", "name"]).withColumn("level", F.explode("levels")), F.col("level")).unionByName(full).alias("b")
-    met = probes.join(index, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id")) & works.may_match("a", "b", trusted))
+    met = probes.join(index, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id")) & works.may_match("a", "b"))
     return met.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
 
 
-def _ordered(c: str | Column, kind: str) -> Column:
-    """An id as text whose order is the order of the ids."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.lpad(c.cast("string"), 20, "0") if kind == "bigint" else c
-
-
-def grouped(prepared: DataFrame, given, right: DataFrame | None = None, trusted: bool = True) -> DataFrame:
-    """id, work of prepared records (staged): equal ``work`` (the least id) is one work.
+def grouped(prepared: DataFrame, given, right: DataFrame | None = None) -> DataFrame:
+    """id, work of prepared records (staged, id long): equal ``work`` (the least id) is one work.
 
-    ``trusted``: whether the DOIs were assigned by authorities; if not, they neither link nor part. ``right``: ``spellings`` of a larger table.
+    ``right``: ``spellings`` of a larger table. A column ``side`` tells tables apart that are grouped at once, each for itself: DOIs of
+    side 0 (the default) were assigned by authorities, those of others may be of other works and neither link nor part.
     """
-    kind = prepared.schema["id"].dataType.simpleString()
-    copies = stage(prepared.join(prepared.groupBy("data").agg(F.min("id").alias("rep")), "data").select("id", "rep"), "p6-copies")
+    prepared = prepared if "side" in prepared.columns else prepared.withColumn("side", F.lit(0))
+    copies = stage(prepared.join(prepared.groupBy("side", "data").agg(F.min("id").alias("rep")), ["side", "data"]).select("id", "rep"), "p6-copies")
     one = prepared.join(copies.filter("id = rep").select("id"), "id")
     # what says nothing isn't equal to what says nothing
     blank = (F.size("words") == 0) & (F.size("names") == 0) & (F.size("orgs") == 0) & F.col("doi").isNull()
@@ -197,28 +196,27 @@ def grouped(prepared: DataFrame, given, right: DataFrame | None = None, trusted:
     lone = one.filter("blank").select(F.col("id").alias("rep"))
     long = elements(one.filter("not blank"))
     sets = stage(respelled(long, spellings(long) if right is None else right), "p6-elements")
-    pairs = stage(candidates(sets, one.select("id", "year", "about", "doi", "part", "cut", "venue"), trusted=trusted), "p6-pairs")
-    data = one.select("id", "data", "doi")
-    a, b = data.select(F.col("id").alias("a"), F.col("data").alias("data_a")), data.select(F.col("id").alias("b"), F.col("data").alias("data_b"))
-    links = stage(works.scored(pairs.join(a, "a").join(b, "b"), given, kind, kind, trusted), "p6-links")
+    pairs = stage(candidates(sets, one.select("id", "year", "about", "doi", "part", "cut", "venue", "side")), "p6-pairs")
+    data = one.select("id", "data", "doi", "side")
+    a, b = data.select(F.col("id").alias("a"), F.col("data").alias("data_a"), (F.col("side") == 0).alias("trusted")), data.select(F.col("id").alias("b"), F.col("data").alias("data_b"))
+    links = stage(works.scored(pairs.join(a, "a").join(b, "b"), given), "p6-links")
     release(pairs, sets)
-    kept = links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    if trusted:
-        with_doi = data.filter("doi is not null")
-        heads = with_doi.groupBy("doi").agg(F.min("id").alias("head"))
-        same_doi = with_doi.join(heads, "doi").filter("id <> head").select(F.col("id").alias("src"), F.col("head").alias("dst"))
-        # a record without a DOI belongs to one DOI at most: that of its best link
-        da, db = data.select(F.col("id").alias("a"), F.col("doi").alias("doi_a")), data.select(F.col("id").alias("b"), F.col("doi").alias("doi_b"))
-        l = stage(links.join(da, "a").join(db, "b"), "p6-dois")
-        toward = l.filter("doi_a is null and doi_b is not null").select(F.col("a").alias("id"), F.col("doi_b").alias("doi"), "score").unionByName(
-            l.filter("doi_b is null and doi_a is not null").select(F.col("b").alias("id"), F.col("doi_a").alias("doi"), "score"))
-        best = stage(toward.groupBy("id").agg(F.max_by("doi", F.struct("score", "doi")).alias("best")), "p6-best")
-        ba, bb = best.select(F.col("id").alias("a"), F.col("best").alias("best_a")), best.select(F.col("id").alias("b"), F.col("best").alias("best_b"))
-        l = l.join(ba, "a", "left").join(bb, "b", "left").withColumn("x", F.coalesce("doi_a", "best_a")).withColumn("y", F.coalesce("doi_b", "best_b"))
-        kept = l.filter("x is null or y is null or x = y").select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(same_doi)
-    groups = components(one.select(_ordered("id", kind).alias("id")), kept.select(_ordered("src", kind).alias("src"), _ordered("dst", kind).alias("dst")))
-    groups = stage(groups.select(F.col("id").cast(kind).alias("rep"), F.col("group").cast(kind).alias("work")), "p6-groups")
-    release(links)
+    assigned = data.filter("side = 0 and doi is not null").select("id", "doi")
+    heads = assigned.groupBy("doi").agg(F.min("id").alias("head"))
+    same_doi = assigned.join(heads, "doi").filter("id <> head").select(F.col("id").alias("src"), F.col("head").alias("dst"))
+    # a record without a DOI belongs to one DOI at most: that of its best link
+    da, db = assigned.select(F.col("id").alias("a"), F.col("doi").alias("doi_a")), assigned.select(F.col("id").alias("b"), F.col("doi").alias("doi_b"))
+    l = stage(links.join(da, "a", "left").join(db, "b", "left"), "p6-dois")
+    toward = l.filter("doi_a is null and doi_b is not null").select(F.col("a").alias("id"), F.col("doi_b").alias("doi"), "score").unionByName(
+        l.filter("doi_b is null and doi_a is not null").select(F.col("b").alias("id"), F.col("doi_a").alias("doi"), "score"))
+    best = stage(toward.groupBy("id").agg(F.max_by("doi", F.struct("score", "doi")).alias("best")), "p6-best")
+    ba, bb = best.select(F.col("id").alias("a"), F.col("best").alias("best_a")), best.select(F.col("id").alias("b"), F.col("best").alias("best_b"))
+    l = l.join(ba, "a", "left").join(bb, "b", "left").withColumn("x", F.coalesce("doi_a", "best_a")).withColumn("y", F.coalesce("doi_b", "best_b"))
+    kept = l.filter("x is null or y is null or x = y").select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(same_doi)
+    text = lambda c: F.lpad(F.col(c).cast("string"), 20, "0")
+    groups = components(one.select(text("id").alias("id")), kept.select(text("src").alias("src"), text("dst").alias("dst")))
+    groups = stage(groups.select(F.col("id").cast("long").alias("rep"), F.col("group").cast("long").alias("work")), "p6-groups")
+    release(links, l, best)
     out = copies.join(groups, "rep").join(lone.withColumn("alone", F.lit(True)), "rep", "left")
     return out.select("id", F.when(F.col("alone"), F.col("id")).otherwise(F.col("work")).alias("work"))
 

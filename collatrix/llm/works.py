@@ -337,22 +337,22 @@ def prepared(records: DataFrame, given) -> DataFrame:
     return records.select("id", "title", "year", "doi", "venue", "kind", "creators").mapInArrow(run, f"id {kind}, {_PREPARED}")
 
 
-def may_match(a: str, b: str, trusted: bool = True) -> Column:
-    """What ``same_work`` needs at least of two prepared records (columns of the aliases a and b), without their words.
+def may_match(a: str, b: str) -> Column:
+    """What ``same_work`` needs at least of two records, without their words: no two different DOIs of side 0; no two
+    different parts, unless an end is missing; years at most two apart.
 
-    Of texts about works the same mark; no two different DOIs; no two different parts, unless an end is missing; years at most two apart.
+    Columns of the aliases a and b: doi (its first 14 characters, the least that a cut one has, as a number), part (a number, 0 for none), cut, year, side.
     """
     c = lambda x, name: F.col(f"{x}.{name}")
-    # equal, or one cut: then both have the least length of a cut one and begin alike
-    doi = F.coalesce(F.left(c(a, "doi"), F.lit(14)) == F.left(c(b, "doi"), F.lit(14)), F.lit(True)) if trusted else F.lit(True)
-    known = F.coalesce(c(a, "doi") == c(b, "doi"), F.lit(False)) | F.coalesce((F.length(c(a, "doi")) >= 14) & (F.length(c(b, "doi")) >= 14) & (F.left(c(a, "doi"), F.lit(14)) == F.left(c(b, "doi"), F.lit(14))), F.lit(False))
-    part = (c(a, "part") == c(b, "part")) | (((c(a, "part") == "") | (c(b, "part") == "")) & (c(a, "cut") | c(b, "cut")))
-    year = F.coalesce(F.abs(c(a, "year") - c(b, "year")) <= 2, F.lit(True)) | known
-    return (c(a, "about") == c(b, "about")) & doi & part & year
+    alike = c(a, "doi") == c(b, "doi")
+    doi = F.coalesce(alike, F.lit(True)) | (c(a, "side") != 0)
+    part = (c(a, "part") == c(b, "part")) | (((c(a, "part") == 0) | (c(b, "part") == 0)) & (c(a, "cut") | c(b, "cut")))
+    year = F.coalesce(F.abs(c(a, "year") - c(b, "year")) <= 2, F.lit(True)) | F.coalesce(alike, F.lit(False))
+    return doi & part & year
 
 
-def scored(pairs: DataFrame, given, a_type: str, b_type: str, trusted: bool = True) -> DataFrame:
-    """a, b, score of pairs (a, b, data_a, data_b); only those taken as one work."""
+def scored(pairs: DataFrame, given) -> DataFrame:
+    """a, b, score of pairs (a, b long, data_a, data_b, trusted: whether both DOIs were assigned by authorities); only those taken as one work."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = given.value
@@ -367,11 +367,11 @@ def scored(pairs: DataFrame, given, a_type: str, b_type: str, trusted: bool = Tr
             return r
 
         for b in batches:
-            scores = [same_work(load(x), load(y), g, trusted) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            scores = [same_work(load(x), load(y), g, t) for x, y, t in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
             out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64())], ["a", "b", "score"])
             yield out.filter(pa.array([s >= 0.5 for s in scores], pa.bool_()))
 
-    return pairs.select("a", "b", "data_a", "data_b").mapInArrow(run, f"a {a_type}, b {b_type}, score double")
+    return pairs.select("a", "b", "data_a", "data_b", "trusted").mapInArrow(run, "a long, b long, score double")
 
 
 def authority(records: DataFrame) -> DataFrame:
