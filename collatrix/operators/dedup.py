@@ -72,14 +72,26 @@ def memberships(keys: DataFrame) -> DataFrame:
     return by_doi.unionByName(rest.join(several, "cluster", "left_semi"))
 
 
+def _disagreeing(distinct: DataFrame, value: str, apart: Column) -> DataFrame:
+    """(path, cluster) in which two distinct values are ``apart`` (columns a.value, b.value).
+
+    Most clusters that disagree do so with their least value; only the others compare all their distinct values.
+    """
+    least = distinct.groupBy("path", "cluster").agg(F.min(value).alias(value))
+    a, b = least.alias("a"), distinct.alias("b")
+    same = (F.col("a.path") == F.col("b.path")) & (F.col("a.cluster") == F.col("b.cluster"))
+    found = a.join(b, same & (F.col(f"a.{value}") != F.col(f"b.{value}"))).filter(apart).select(F.col("a.path").alias("path"), F.col("a.cluster").alias("cluster")).distinct()
+    rest = distinct.join(found, ["path", "cluster"], "left_anti")
+    a, b = rest.alias("a"), rest.alias("b")
+    more = a.join(b, same & (F.col(f"a.{value}") < F.col(f"b.{value}"))).filter(apart).select(F.col("a.path").alias("path"), F.col("a.cluster").alias("cluster")).distinct()
+    return found.unionByName(more)
+
+
 def _title_disagreement(members: DataFrame) -> DataFrame:
     """(path, cluster) in which two distinct titles share less than half of their content words."""
     distinct = members.filter("tokens <> ''").select("path", "cluster", "tokens").distinct()
-    a, b = distinct.alias("a"), distinct.alias("b")
-    pairs = a.join(b, (F.col("a.path") == F.col("b.path")) & (F.col("a.cluster") == F.col("b.cluster")) & (F.col("a.tokens") < F.col("b.tokens")))
     x, y = F.split("a.tokens", " "), F.split("b.tokens", " ")
-    low = F.size(F.array_intersect(x, y)) < TITLE_FLOOR * F.size(F.array_union(x, y))
-    return pairs.filter(low).select(F.col("a.path").alias("path"), F.col("a.cluster").alias("cluster")).distinct()
+    return _disagreeing(distinct, "tokens", F.size(F.array_intersect(x, y)) < TITLE_FLOOR * F.size(F.array_union(x, y)))
 
 
 def clipped(a: Column, b: Column) -> Column:
@@ -92,10 +104,7 @@ def clipped(a: Column, b: Column) -> Column:
 def _subtitle_disagreement(members: DataFrame) -> DataFrame:
     """(path, cluster) with two subtitles of which neither is the other clipped."""
     distinct = members.filter("subtitle <> ''").select("path", "cluster", "subtitle").distinct()
-    a, b = distinct.alias("a"), distinct.alias("b")
-    pairs = a.join(b, (F.col("a.path") == F.col("b.path")) & (F.col("a.cluster") == F.col("b.cluster")) & (F.col("a.subtitle") < F.col("b.subtitle")))
-    apart = ~(clipped(F.col("a.subtitle"), F.col("b.subtitle")) | clipped(F.col("b.subtitle"), F.col("a.subtitle")))
-    return pairs.filter(apart).select(F.col("a.path").alias("path"), F.col("a.cluster").alias("cluster")).distinct()
+    return _disagreeing(distinct, "subtitle", ~(clipped(F.col("a.subtitle"), F.col("b.subtitle")) | clipped(F.col("b.subtitle"), F.col("a.subtitle"))))
 
 
 def _creator_disagreement(members: DataFrame) -> DataFrame:
@@ -113,28 +122,30 @@ def clusters(items: DataFrame) -> DataFrame:
     """
     m = stage(memberships(keyed(latest(items))), "dedup-members")  # read by each guard
     told = [c for c in m.columns if c.startswith("tell_")]
-    filled = lambda c: F.countDistinct(F.nullif(F.col(c), F.lit("")))
+    # more than one distinct value: the least isn't the greatest; unlike distinct counts, this combines before the shuffle
+    several = lambda c: F.coalesce(F.min(c) != F.max(c), F.lit(False))
+    filled = lambda c: several(F.nullif(F.col(c), F.lit("")))
     g = m.groupBy("path", "cluster").agg(
         F.array_sort(F.collect_list("item_key")).alias("item_keys"),
-        F.countDistinct("item_type").alias("types"),
-        F.countDistinct("parts").alias("n_parts"),
-        F.countDistinct("edition").alias("editions"),
+        several("item_type").alias("types"),
+        several("parts").alias("n_parts"),
+        several("edition").alias("editions"),
         filled("year").alias("years"),
-        F.countDistinct("doi").alias("dois"),
+        several("doi").alias("dois"),
         F.min_by("item_key", F.struct(-F.col("completeness"), F.col("item_key"))).alias("master_key"),
         *[filled(c).alias(c) for c in told],
     )
     for name, found in (("title_off", _title_disagreement(m)), ("subtitle_off", _subtitle_disagreement(m)), ("creators_off", _creator_disagreement(m))):
         g = g.join(found.withColumn(name, F.lit(True)), ["path", "cluster"], "left")
     guards = [
-        (F.col("types") > 1, "item-type conflict"),
+        (F.col("types"), "item-type conflict"),
         (F.col("title_off"), "title disagreement"),
         (F.col("subtitle_off"), "subtitle disagreement"),
-        (F.col("n_parts") > 1, "volume/part disagreement"),
-        *[(F.col(c) > 1, f"{c.removeprefix('tell_')} disagreement") for c in told],
-        (F.col("editions") > 1, "edition disagreement"),
-        ((F.col("path") == "doi") & (F.col("years") > 1), "year disagreement"),
-        ((F.col("path") == "key") & (F.col("dois") > 1), "DOI disagreement"),
+        (F.col("n_parts"), "volume/part disagreement"),
+        *[(F.col(c), f"{c.removeprefix('tell_')} disagreement") for c in told],
+        (F.col("editions"), "edition disagreement"),
+        ((F.col("path") == "doi") & (F.col("years")), "year disagreement"),
+        ((F.col("path") == "key") & (F.col("dois")), "DOI disagreement"),
         ((F.col("path") == "key") & F.col("creators_off"), "creator disagreement"),
     ]
     conflicts = F.array_compact(F.array(*[F.when(c, F.lit(name)) for c, name in guards]))

@@ -36,6 +36,7 @@ def clean_doi(raw: Column) -> Column:
 def identifiers(c: Column) -> dict[str, Column]:
     """doi, arxiv and isbn: the first of each in a text, null for none."""
     t = F.coalesce(c, F.lit(""))
+    # The patterns of DOIs, arXiv numbers and ISBNs.
     doi = text.doi_key(clean_doi(F.regexp_extract(t, r"\b(10\.\d{4,9}/\S+)", 1)))
     new, old = F.regexp_extract(t, r"(?i)\barxiv:\s*(\d{4}\.\d{4,5}(?:v\d+)?)", 1), F.regexp_extract(t, r"(?i)\barxiv:\s*([a-z][a-z-]*(?:\.[A-Z]{2})?/\d{7})", 1)
     digits = F.upper(F.regexp_replace(F.regexp_extract(t, r"(?i)\bisbn(?:-1[03])?[:\s]\s*([0-9][0-9 -]{8,20}[0-9Xx])", 1), "[ -]", ""))
@@ -78,9 +79,12 @@ def parse_path(kind: Column, lang: Column, hint: Column, service_up: bool) -> Co
 
 
 def facts(docs: DataFrame) -> DataFrame:
-    """doc_id, doi, arxiv, isbn, language, kind of every document; null texts have no identifier and an unknown language."""
+    """doc_id, doi, arxiv, isbn, language, source_kind of every document; null texts have no identifier and an unknown language.
+
+    Whether a text was scanned is told by its length per page and by its source (one of character recognition); a null source abstains.
+    """
     ids = identifiers(F.col("text"))
-    v = votes(F.coalesce("text", F.lit("")), F.lit(None).cast("boolean"), F.lit(None).cast("double"), F.lit(None).cast("double"))
+    v = votes(F.coalesce("text", F.lit("")), F.lower("source").contains("ocr"), F.lit(None).cast("double"), F.lit(None).cast("double"))
     return docs.select("doc_id", *[c.alias(n) for n, c in ids.items()], language(F.col("text")).alias("language"), source_kind(v).alias("source_kind"))
 
 
@@ -106,3 +110,21 @@ def file_name_facts(name: Column) -> dict[str, Column]:
         "year": F.when(dated, F.regexp_extract(name, two, 1)).when(full, F.regexp_extract(name, three, 2)),
         "title": F.when(dated, spaced(F.regexp_extract(name, two, 2))).when(full, spaced(F.regexp_extract(name, three, 3))).otherwise(spaced(F.regexp_replace(name, "-", " "))),
     }
+
+
+# A DOI as it stands in the bytes of a file.
+BODY_DOI = r"(10\.\d{4,9}/[-._;()/:A-Za-z0-9]+)"
+
+
+def head_doi(head: Column) -> Column:
+    """The first DOI in the head of a file, without a final period; null if it is too short to be one."""
+    d = F.regexp_replace(F.regexp_extract(F.coalesce(head, F.lit("")), BODY_DOI, 1), r"\.+$", "")
+    return F.when(F.length(d) > 10, d)
+
+
+def markdown_facts(c: Column) -> dict[str, Column]:
+    """title, author, date, year, doi of a Markdown text: of its front matter, else of its first heading and the first DOI in the text."""
+    f = front_matter(c)
+    heading = F.nullif(text.squeeze(F.regexp_extract(F.coalesce(c, F.lit("")), r"(?m)^#\s+(.+)$", 1)), F.lit(""))
+    body = F.nullif(F.regexp_replace(F.regexp_extract(F.coalesce(c, F.lit("")), BODY_DOI, 1), r"\.+$", ""), F.lit(""))
+    return f | {"title": F.coalesce(f["title"], heading), "doi": F.coalesce(f["doi"], body)}

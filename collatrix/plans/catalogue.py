@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from collatrix.functions import text
-from collatrix.operators import agreement, audit, citekeys, dedup, ingest, merge, pairs, quality
+from collatrix.operators import agreement, audit, citekeys, dedup, ingest, library, merge, pairs, quality
 from collatrix.plans.oracle import SQL
 from collatrix.session import stage, table
 from collatrix.sources import sinks
@@ -64,7 +64,7 @@ def consensus_fields(spark: SparkSession, d: str) -> DataFrame:
 def composed_fields(spark: SparkSession, d: str) -> DataFrame:
     items, records = table(spark, d, "items"), table(spark, d, "authority_records")
     c, a = agreement.candidates_of(items), agreement.authorities_of(records)
-    accepted = agreement.facts(agreement.lookup_by_doi(c, a)).select("cand", (F.col("id_agreement") & ~F.col("id_disagreement")).alias("accept"))
+    accepted = agreement.scores(agreement.lookup_by_doi(c, a)).select("cand", (F.col("decision") == "accept").alias("accept"))
     return agreement.composed(items, records, accepted)
 
 
@@ -85,8 +85,11 @@ def merge_checks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def merge_undo(spark: SparkSession, d: str) -> DataFrame:
-    items, members = table(spark, d, "items"), merge.plan(table(spark, d, "cluster_jobs"))
-    return merge.undo(members, items, items)
+    """What undoing each merge takes, each against its items as they stand after that merge alone."""
+    members, items = merge.by_job(merge.plan(table(spark, d, "cluster_jobs")), table(spark, d, "items"))
+    members, items = stage(members, "merge-members"), stage(items, "merge-items")
+    steps = merge.undo(members, items, stage(merge.applied(items, members), "merge-applied"))
+    return steps.select("job_id", F.substring_index("item_key", "/", -1).alias("item_key"), "step")
 
 
 def version_differences(spark: SparkSession, d: str) -> DataFrame:
@@ -143,7 +146,7 @@ def log_unanswered(spark: SparkSession, d: str) -> DataFrame:
 
 
 def log_failures(spark: SparkSession, d: str) -> DataFrame:
-    return audit.answered_failures(table(spark, d, "prov_log"), "acknowledge_verify_failure")
+    return audit.answered_failures(table(spark, d, "prov_log"))
 
 
 def log_recent_merges(spark: SparkSession, d: str) -> DataFrame:
@@ -197,6 +200,107 @@ def transaction_ids(spark: SparkSession, d: str) -> DataFrame:
     return jobs.select("job_id", sinks.content_id("TXN-", F.col("master"), F.array_join(F.array_sort(F.coalesce("secondaries", F.array().cast("array<string>"))), ",")).alias("txn_id"))
 
 
+def log_health(spark: SparkSession, d: str) -> DataFrame:
+    return audit.health(table(spark, d, "prov_log"))
+
+
+def log_freshness(spark: SparkSession, d: str) -> DataFrame:
+    return audit.freshness(table(spark, d, "prov_log"), "merge_health_report", 86_400)
+
+
+def log_unresolved(spark: SparkSession, d: str) -> DataFrame:
+    return audit.unresolved(table(spark, d, "prov_log"))
+
+
+def log_transaction_states(spark: SparkSession, d: str) -> DataFrame:
+    return audit.transaction_states(table(spark, d, "prov_log"))
+
+
+def log_open_writes(spark: SparkSession, d: str) -> DataFrame:
+    return audit.open_writes(table(spark, d, "prov_log"))
+
+
+def log_inversion(spark: SparkSession, d: str) -> DataFrame:
+    return audit.inversion(table(spark, d, "prov_log"))
+
+
+def log_lost_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    return audit.lost_snapshots(table(spark, d, "prov_log"), table(spark, d, "item_snaps"))
+
+
+def log_run_counters(spark: SparkSession, d: str) -> DataFrame:
+    return audit.run_counters(table(spark, d, "prov_log"))
+
+
+def log_readiness(spark: SparkSession, d: str) -> DataFrame:
+    return audit.readiness(table(spark, d, "prov_log"))
+
+
+def jobs_pending(spark: SparkSession, d: str) -> DataFrame:
+    return audit.pending_jobs(table(spark, d, "cluster_jobs"), table(spark, d, "prov_log"))
+
+
+def job_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return library.same_members(table(spark, d, "cluster_jobs"), table(spark, d, "candidates"))
+
+
+def library_page(spark: SparkSession, d: str) -> DataFrame:
+    """The third page of 25 journal articles that aren't in the trash; paging is the feature."""
+    return library.page(library.scan(table(spark, d, "items"), ["journalArticle"]), 50, 25)
+
+
+def item_details(spark: SparkSession, d: str) -> DataFrame:
+    return library.details(dedup.latest(table(spark, d, "items")))
+
+
+def version_set_differences(spark: SparkSession, d: str) -> DataFrame:
+    """Creators and tags in which the earliest delivery of an item differs from the latest."""
+    items = table(spark, d, "items").filter("item_key is not null").select("item_key", "creators", "tags", F.struct("version", "date_modified", F.to_json("creators"), F.to_json("tags")).alias("o"))
+    ends = items.groupBy("item_key").agg(F.min_by(F.struct("creators", "tags"), "o").alias("a"), F.max_by(F.struct("creators", "tags"), "o").alias("b"))
+    return library.set_differences(ends.select("item_key", "a.*"), ends.select("item_key", "b.*"))
+
+
+def item_children(spark: SparkSession, d: str) -> DataFrame:
+    return library.children(table(spark, d, "documents"), table(spark, d, "items"))
+
+
+def orphan_documents(spark: SparkSession, d: str) -> DataFrame:
+    return library.orphans(table(spark, d, "documents"), table(spark, d, "items"))
+
+
+def items_without_documents(spark: SparkSession, d: str) -> DataFrame:
+    return library.childless(table(spark, d, "documents"), table(spark, d, "items"))
+
+
+def item_identities(spark: SparkSession, d: str) -> DataFrame:
+    return library.identities(dedup.keyed(dedup.latest(table(spark, d, "items"))))
+
+
+def observation_ids(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "item_snaps").select("snapshot_id", "item_key", library.observation_id(F.col("item_key"), F.col("version")).alias("meta_id")).distinct()
+
+
+def creators_of_strings(spark: SparkSession, d: str) -> DataFrame:
+    first, last = library.names_of(F.col("full_name"))
+    return table(spark, d, "creator_names").filter("full_name is not null and trim(full_name) <> ''").select("name_id", first.alias("first_name"), last.alias("last_name"))
+
+
+def search_queries(spark: SparkSession, d: str) -> DataFrame:
+    return library.search_text(dedup.keyed(dedup.latest(table(spark, d, "items"))))
+
+
+def review_listing(spark: SparkSession, d: str) -> DataFrame:
+    """The first 20 match results of each reason, with the number of all; a capped report."""
+    found = table(spark, d, "candidates").select("cand_id", "reason", "auto_accept")
+    return library.listing(found, "reason", [F.col("cand_id")])
+
+
+def file_names(spark: SparkSession, d: str) -> DataFrame:
+    """What the titles of items say when they are taken for names of files."""
+    one = dedup.latest(table(spark, d, "items")).filter("title is not null")
+    return one.select("item_key", *[c.alias(k) for k, c in ingest.file_name_facts(F.concat_ws(" - ", F.nullif(text.year_of(F.col("pub_date")), F.lit("")), "title")).items()])
+
+
 def queries() -> dict[str, Query]:
     skip = {"queries", "oracle_sql", "stage", "table"}
     return {k: v for k, v in globals().items() if callable(v) and not k.startswith("_") and k not in skip and getattr(v, "__module__", "") == __name__}

@@ -6,8 +6,15 @@ The normal forms are written out here once more, in SQL, so that the two sides s
 from __future__ import annotations
 
 from collatrix.functions.text import FIRST_EDITIONS, FOLD_FROM, FOLD_TO, LIBRARY_TYPES, MARKS, PART, SEVERAL, STOP_WORDS
-from collatrix.operators.audit import DOI_TYPES
-from collatrix.operators.ingest import ENGLISH_SHARE, FUNCTION_WORDS
+
+# Fixed values, written out once more so that a wrong one in the engine shows.
+ENGLISH_SHARE = 0.18
+FUNCTION_WORDS = (
+    "about all an and are as at be but by can could each for from had have her his if in into is it its more no not of on or out "
+    "said so some than that the them then there these they this to up was were what when which who will with you"
+).split()
+DOI_TYPES = ["book", "bookSection", "conferencePaper", "dataset", "journalArticle", "manuscript", "preprint", "report", "thesis"]
+VERIFY = "('commit_merge', 'commit_merge_shadow', 'commit_merge_verify', 'shadow_merge')"
 
 
 def _q(s: str) -> str:
@@ -49,6 +56,18 @@ _CITEKEY = f"coalesce({_PINNED}, nullif(citation_key, ''))"
 _ONE = """one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY coalesce(version, -1) DESC, coalesce(date_modified, TIMESTAMP '1970-01-01') DESC) AS rn_ FROM items WHERE item_key IS NOT NULL) WHERE rn_ = 1)"""
 _E = """e AS (SELECT * EXCLUDE (rn_) FROM (SELECT *, row_number() OVER (PARTITION BY prov_id ORDER BY append_seq) AS rn_ FROM prov_log) WHERE rn_ = 1 OR prov_id IS NULL)"""
 
+_V = f"""v AS (SELECT *, NOT passed AND snapshot_id IS NOT NULL AND snapshot_id IN (SELECT snapshot_id FROM e WHERE activity = 'verify_failure_acknowledged' AND snapshot_id IS NOT NULL) AS acknowledged
+ FROM e WHERE passed IS NOT NULL AND activity IN {VERIFY})"""
+_TX = """has AS (SELECT snapshot_id, count(*) FILTER (activity = 'merge_txn_intent') AS i, count(*) FILTER (activity = 'merge_txn_write') AS w, count(*) FILTER (activity = 'merge_txn_result') AS c,
+ count(*) FILTER (activity = 'merge_txn_rolled_back') AS r FROM e WHERE snapshot_id IS NOT NULL GROUP BY snapshot_id)"""
+_UNRESOLVED = """SELECT snapshot_id, 'intent without an end' AS reason FROM has WHERE i > 0 AND c + r = 0 UNION ALL SELECT snapshot_id, 'writes without an intent' FROM has WHERE w > 0 AND i = 0
+ UNION ALL SELECT snapshot_id, 'end without an intent' FROM has WHERE c + r > 0 AND i = 0"""
+_HEALTH = """h AS (SELECT (SELECT count(*) FROM v WHERE NOT acknowledged) AS verifies, (SELECT count(*) FROM v WHERE passed) AS passed, (SELECT count(*) FROM v WHERE acknowledged) AS acknowledged,
+ (SELECT count(*) FROM e WHERE activity = 'commit_merge') AS commits, (SELECT count(*) FROM e) AS lines),
+hh AS (SELECT *, passed::DOUBLE / nullif(verifies, 0) AS rate, CASE WHEN coalesce(passed::DOUBLE / nullif(verifies, 0), 1.0) < 1.0 THEN 'degraded' ELSE 'ok' END AS status FROM h)"""
+_FRESH = """f AS (SELECT 'merge_health_report' AS report, ts, date_sub('second', ts, now) AS age_seconds, coalesce(date_sub('second', ts, now) BETWEEN 0 AND 86400, FALSE) AS fresh
+ FROM (SELECT (SELECT arg_max(ts, append_seq) FROM e WHERE activity = 'merge_health_report') AS ts, (SELECT max(ts) FROM e) AS now))"""
+
 _FULL = _words("title")
 _KEYED = f"""keyed AS (SELECT item_key, {_DOI} AS doi, {_words("split_part(title, ':', 1)")} AS title_key, {_YEAR('pub_date')} AS year, {_AUTHOR} AS author, {_SURNAMES} AS surnames,
  coalesce(item_type, chr(1)) AS item_type, {_FULL} AS full_title, CASE WHEN contains(title, ':') THEN {_words("regexp_replace(title, '(?s)^[^:]*:', '')")} ELSE '' END AS subtitle,
@@ -91,6 +110,15 @@ _RULES = """list_filter([CASE WHEN coalesce(title, '') = '' THEN 'no title' END,
  CASE WHEN item_type = 'journalArticle' AND coalesce(publication_title, '') = '' THEN 'x' END, CASE WHEN item_type = 'book' AND coalesce(publisher, '') = '' THEN 'x' END,
  CASE WHEN item_type = 'bookSection' AND coalesce(publication_title, '') = '' THEN 'x' END], lambda x: x IS NOT NULL)"""
 
+_MISS = lambda c: f"coalesce({c}, '') = ''"
+_ISSUES = f"""list_concat(list_filter([CASE WHEN {_MISS('title')} THEN 'Missing title' END, CASE WHEN coalesce(len(creators), 0) = 0 THEN 'No creators/authors' END, CASE WHEN {_MISS('pub_date')} THEN 'Missing date' END,
+ CASE WHEN item_type = 'journalArticle' AND {_MISS('publication_title')} THEN 'Missing journal name' END, CASE WHEN item_type = 'book' AND {_MISS('publisher')} THEN 'Missing publisher' END,
+ CASE WHEN item_type = 'bookSection' AND {_MISS('publication_title')} THEN 'Missing book title' END, CASE WHEN item_type = 'bookSection' AND {_MISS('publisher')} THEN 'Missing publisher' END], lambda x: x IS NOT NULL),
+ list_filter(list_transform(coalesce(creators, []), lambda c, i: CASE WHEN {_MISS('c.lastName')} THEN 'Creator ' || (i - 1)::VARCHAR || ': missing lastName' END), lambda x: x IS NOT NULL))"""
+_WARNINGS = f"""list_concat(list_filter([CASE WHEN item_type = 'journalArticle' AND {_MISS('volume')} THEN 'Missing volume' END, CASE WHEN item_type = 'journalArticle' AND {_MISS('doi')} THEN 'Missing DOI' END,
+ CASE WHEN upper(title) = title AND lower(title) <> title THEN 'Title is ALL CAPS' END], lambda x: x IS NOT NULL),
+ list_filter(list_transform(coalesce(creators, []), lambda c, i: CASE WHEN {_MISS('c.firstName')} AND c.creatorType = 'author' THEN 'Creator ' || (i - 1)::VARCHAR || ': missing firstName' END), lambda x: x IS NOT NULL))"""
+
 SQL: dict[str, str] = {
     "dedup_scan": _CLUSTERS + """ SELECT path, array_to_string(keys, ',') AS item_keys, len(conflicts) = 0 AS auto_accept, array_to_string(conflicts, ',') AS conflicts, master_key,
  CASE WHEN path = 'doi' THEN 'exact DOI' ELSE 'exact normalized title+year+author' END || CASE WHEN len(conflicts) = 0 THEN '' ELSE ' (demoted: ' || array_to_string(conflicts, ', ') || ')' END AS reason FROM c""",
@@ -130,7 +158,7 @@ SELECT pl.job_id, pl.master, coalesce(cs.v, '') AS collections, coalesce(ts.v, '
 r AS (SELECT item_key, aliases, regexp_replace(regexp_replace(uri, '/+$', ''), '^.*/', '') AS replaced FROM l), o AS (SELECT item_key AS replaced, {_CITEKEY} AS old_key, TRUE AS known FROM one)
 SELECT r.item_key, r.replaced, o.old_key, CASE WHEN o.known IS NULL THEN 'gone' WHEN o.old_key IS NULL THEN 'no key' WHEN list_contains(aliases, o.old_key) THEN 'kept' ELSE 'lost' END AS outcome FROM r LEFT JOIN o USING (replaced)""",
     "log_activity_counts": f"WITH {_E} SELECT activity, count(*) AS n, count(DISTINCT item_key) AS n_items FROM e GROUP BY activity",
-    "log_verify_rates": f"WITH {_E} SELECT activity, count(*) AS verifies, count(*) FILTER (passed) AS passed, avg(passed::INT::DOUBLE) AS rate FROM e WHERE passed IS NOT NULL GROUP BY activity",
+    "log_verify_rates": f"WITH {_E}, {_V} SELECT activity, count(*) AS verifies, count(*) FILTER (passed) AS passed, avg(passed::INT::DOUBLE) AS rate FROM v WHERE NOT acknowledged GROUP BY activity",
     "log_daily_report": f"""WITH {_E} SELECT ts::DATE AS day, count(*) AS lines, count(DISTINCT item_key) AS items, count(passed) AS verifies, count(*) FILTER (passed) AS passed, avg(passed::INT::DOUBLE) AS rate FROM e GROUP BY ts::DATE""",
     "log_latest_per_item": f"WITH {_E} SELECT item_key, max(append_seq) AS append_seq, arg_max(activity, append_seq) AS activity FROM e WHERE item_key IS NOT NULL GROUP BY item_key",
     "log_coverage": """SELECT count(*) AS lines, count(DISTINCT prov_id) AS ids, count(prov_id) - count(DISTINCT prov_id) AS repeated, count(*) FILTER (item_key IS NULL) AS no_item, count(*) FILTER (agent IS NULL) AS no_agent,
@@ -139,7 +167,7 @@ SELECT r.item_key, r.replaced, o.old_key, CASE WHEN o.known IS NULL THEN 'gone'
     "log_unanswered": f"""WITH {_E}, a AS (SELECT snapshot_id, max(append_seq) AS append_seq, count(*) AS intents FROM e WHERE activity = 'merge_txn_intent' GROUP BY snapshot_id)
 SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM e WHERE activity IN ('merge_txn_result', 'merge_txn_rolled_back') AND e.snapshot_id IS NOT DISTINCT FROM a.snapshot_id)""",
     "log_failures": f"""WITH {_E}, f AS (SELECT snapshot_id, count(*) AS failures FROM e WHERE passed = FALSE AND snapshot_id IS NOT NULL GROUP BY snapshot_id)
-SELECT snapshot_id, failures, snapshot_id IN (SELECT snapshot_id FROM e WHERE activity = 'acknowledge_verify_failure' AND snapshot_id IS NOT NULL) AS acknowledged FROM f""",
+SELECT snapshot_id, failures, snapshot_id IN (SELECT snapshot_id FROM e WHERE activity = 'verify_failure_acknowledged' AND snapshot_id IS NOT NULL) AS acknowledged FROM f""",
     "log_recent_merges": f"WITH {_E} SELECT append_seq, prov_id, item_key, snapshot_id FROM e WHERE activity = 'merge_txn_result' ORDER BY append_seq DESC LIMIT 20",
     "library_health": f"""WITH {_ONE}, x AS (SELECT *, NOT coalesce(deleted, FALSE) AS live FROM one) SELECT count(*) AS items, count(*) FILTER (NOT live) AS trashed, count(*) FILTER (live AND item_type IN {_list(DOI_TYPES)}) AS doi_types,
  round(100.0 * count(*) FILTER (live AND item_type IN {_list(DOI_TYPES)} AND trim(coalesce(doi, '')) = '') / nullif(count(*) FILTER (live AND item_type IN {_list(DOI_TYPES)}), 0), 2) AS pct_missing_doi,
@@ -157,7 +185,40 @@ r AS (SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY version, date_
  row_number() OVER (PARTITION BY item_key ORDER BY version DESC, date_modified DESC NULLS LAST, title DESC NULLS LAST, pub_date DESC NULLS LAST, doi DESC NULLS LAST, volume DESC NULLS LAST, citation_key DESC NULLS LAST, extra DESC NULLS LAST) AS down FROM i),
 o AS (SELECT * FROM r WHERE up = 1), n AS (SELECT * FROM r WHERE down = 1)
 """ + " UNION ALL ".join(f"SELECT o.item_key, '{c}' AS field, o.{c} AS value_a, n.{c} AS value_b FROM o JOIN n USING (item_key) WHERE o.{c} IS DISTINCT FROM n.{c}" for c in ("title", "pub_date", "doi", "volume", "citation_key", "extra")),
-    "document_facts": rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(lower(coalesce(text, '')), '([a-zA-Z]+)', 1) AS w FROM documents)
+    "document_facts": rf"""WITH t AS (SELECT doc_id, contains(lower(source), 'ocr') AS ocr, CASE WHEN len(coalesce(text, '')) / (len(string_split(coalesce(text, ''), chr(12)))) >= 1000 THEN 'born_digital' WHEN len(coalesce(text, '')) / (len(string_split(coalesce(text, ''), chr(12)))) <= 200 THEN 'scanned' END AS vote, coalesce(text, '') AS x, regexp_extract_all(lower(coalesce(text, '')), '([a-zA-Z]+)', 1) AS w FROM documents)
 SELECT doc_id, nullif(regexp_replace(regexp_replace(lower(regexp_extract(x, '\b(10\.\d{{4,9}}/\S+)', 1)), '[.,;:!?''"”’)\]}}]+$', ''), '^https?://(dx\.)?doi\.org/', ''), '') AS doi,
- lower(nullif(regexp_extract(x, '(?i)\barxiv:\s*(\d{{4}}\.\d{{4,5}}(?:v\d+)?)', 1), '')) AS arxiv, nullif(upper(regexp_replace(regexp_extract(x, '(?i)\bisbn(?:-1[03])?[:\s]\s*([0-9][0-9 -]{{8,20}}[0-9Xx])', 1), '[ -]', '', 'g')), '') AS isbn, CASE WHEN len(w) = 0 THEN 'unknown' WHEN len(list_filter(w, lambda q: q IN {_list(FUNCTION_WORDS)})) / len(w) >= {ENGLISH_SHARE} THEN 'en' ELSE 'other' END AS language, 'scanned' AS source_kind FROM t""",
+ lower(nullif(regexp_extract(x, '(?i)\barxiv:\s*(\d{{4}}\.\d{{4,5}}(?:v\d+)?)', 1), '')) AS arxiv, nullif(upper(regexp_replace(regexp_extract(x, '(?i)\bisbn(?:-1[03])?[:\s]\s*([0-9][0-9 -]{{8,20}}[0-9Xx])', 1), '[ -]', '', 'g')), '') AS isbn, CASE WHEN len(w) = 0 THEN 'unknown' WHEN len(list_filter(w, lambda q: q IN {_list(FUNCTION_WORDS)})) / len(w) >= {ENGLISH_SHARE} THEN 'en' ELSE 'other' END AS language,
+ CASE WHEN ocr IS NOT NULL AND vote IS NOT NULL AND (ocr AND vote = 'scanned' OR NOT ocr AND vote = 'born_digital') THEN vote ELSE 'scanned' END AS source_kind FROM t""",
+    "log_health": f"WITH {_E}, {_V}, {_HEALTH} SELECT * FROM hh",
+    "log_freshness": f"WITH {_E}, {_FRESH} SELECT * FROM f",
+    "log_unresolved": f"WITH {_E}, {_TX} {_UNRESOLVED}",
+    "log_transaction_states": f"""WITH {_E}, {_TX} SELECT snapshot_id, w AS writes, CASE WHEN c > 0 AND r > 0 THEN 'torn' WHEN c > 0 THEN 'committed' WHEN r > 0 THEN 'rolled back' WHEN w > 0 THEN 'written' WHEN i > 0 THEN 'intended' ELSE 'planned' END AS state FROM has""",
+    "log_open_writes": f"""WITH {_E}, {_TX} SELECT snapshot_id, item_key, count(*) AS writes FROM e WHERE activity = 'merge_txn_write' AND snapshot_id IN (SELECT snapshot_id FROM has WHERE c + r = 0) GROUP BY ALL""",
+    "log_inversion": f"""WITH {_E}, {_TX} SELECT snapshot_id, row_number() OVER (PARTITION BY snapshot_id ORDER BY append_seq DESC)::INT AS step, append_seq, item_key FROM e WHERE activity = 'merge_txn_write' AND snapshot_id IN (SELECT snapshot_id FROM has WHERE c + r = 0)""",
+    "log_lost_snapshots": f"WITH {_E} SELECT snapshot_id, count(*) AS lines FROM e WHERE snapshot_id IS NOT NULL AND snapshot_id NOT IN (SELECT snapshot_id FROM item_snaps WHERE snapshot_id IS NOT NULL) GROUP BY snapshot_id",
+    "log_run_counters": f"WITH {_E} SELECT agent, activity, count(*) AS lines, count(item_key) AS items, min(append_seq) AS first_seq, max(append_seq) AS last_seq FROM e GROUP BY agent, activity",
+    "log_readiness": f"""WITH {_E}, {_V}, {_TX}, {_HEALTH}, {_FRESH}, u AS ({_UNRESOLVED}) SELECT 'freshness' AS gate, CASE WHEN fresh THEN 'pass' ELSE 'fail' END AS status FROM f
+ UNION ALL SELECT 'log integrity', CASE WHEN (SELECT count(*) FROM prov_log WHERE params IS NOT NULL AND NOT json_valid(params)) = 0 THEN 'pass' ELSE 'fail' END
+ UNION ALL SELECT 'open transactions', CASE WHEN (SELECT count(*) FROM u) = 0 THEN 'pass' ELSE 'fail' END UNION ALL SELECT 'verify rate', CASE WHEN status = 'ok' THEN 'pass' ELSE 'fail' END FROM hh""",
+    "jobs_pending": f"WITH {_E} SELECT job_id, snapshot_id FROM cluster_jobs WHERE snapshot_id IS NULL OR snapshot_id NOT IN (SELECT snapshot_id FROM e WHERE activity = 'merge_txn_result' AND snapshot_id IS NOT NULL)",
+    "job_candidates": """WITH j AS (SELECT job_id, list_sort(list_distinct(list_filter(member_keys, lambda x: x IS NOT NULL))) AS m FROM cluster_jobs),
+c AS (SELECT cand_id, list_sort(list_distinct(list_filter(item_keys, lambda x: x IS NOT NULL))) AS m FROM candidates) SELECT job_id, cand_id FROM j JOIN c USING (m) WHERE len(m) > 0""",
+    "library_page": f"WITH {_ONE} SELECT item_key, title, (row_number() OVER (ORDER BY item_key) - 1)::INT AS position FROM one WHERE item_type = 'journalArticle' AND NOT coalesce(deleted, FALSE) QUALIFY row_number() OVER (ORDER BY item_key) BETWEEN 51 AND 75",
+    "item_details": f"WITH {_ONE} " + " UNION ALL ".join(f"SELECT item_key, '{c}' AS field, {c} AS value FROM one WHERE coalesce({c}, '') <> ''" for c in ("item_type", "title", "pub_date", "doi", "volume", "issue", "edition", "university", "abstract_note", "publisher", "publication_title", "extra", "citation_key")),
+    "item_children": "SELECT item_key, kind, count(*) AS n, coalesce(sum(n_chars), 0)::BIGINT AS chars FROM documents WHERE item_key IN (SELECT item_key FROM items WHERE item_key IS NOT NULL) GROUP BY item_key, kind",
+    "orphan_documents": """WITH x AS (SELECT item_key, count(*) AS n FROM documents WHERE item_key IS NOT NULL AND item_key NOT IN (SELECT item_key FROM items WHERE item_key IS NOT NULL) GROUP BY item_key)
+SELECT item_key, n, (SELECT count(*) FROM x) AS orphans FROM x ORDER BY item_key LIMIT 10""",
+    "items_without_documents": "SELECT DISTINCT item_key FROM items WHERE item_key IS NOT NULL AND item_key NOT IN (SELECT item_key FROM documents WHERE item_key IS NOT NULL)",
+    "item_identities": f"WITH {_ONE}, {_KEYED} SELECT item_key, sha256(concat_ws('|', item_type, title_key, year, author, coalesce(doi, ''))) AS identity FROM k",
+    "observation_ids": "SELECT DISTINCT snapshot_id, item_key, 'META-' || substr(md5(concat_ws('|', item_key, coalesce(version::VARCHAR, ''))), 1, 12) AS meta_id FROM item_snaps",
+    "creators_of_strings": rf"""WITH t AS (SELECT name_id, {_squeeze("full_name")} AS t FROM creator_names WHERE trim(coalesce(full_name, '')) <> '')
+SELECT name_id, CASE WHEN contains(t, ',') THEN trim(regexp_replace(t, '^[^,]*,', '')) ELSE regexp_replace(t, '\s*\S+$', '') END AS first_name, CASE WHEN contains(t, ',') THEN trim(split_part(t, ',', 1)) ELSE regexp_extract(t, '(\S*)$', 1) END AS last_name FROM t""",
+    "search_queries": f"WITH {_ONE}, {_KEYED} SELECT item_key, concat_ws(' ', title_key, nullif(author, ''), nullif(year, '')) AS query FROM k WHERE doi IS NULL AND title_key <> ''",
+    "review_listing": "SELECT cand_id, reason, auto_accept, (row_number() OVER w)::INT AS place, count(*) OVER (PARTITION BY reason) AS total FROM candidates WINDOW w AS (PARTITION BY reason ORDER BY cand_id) QUALIFY row_number() OVER w <= 20",
+    "validate_items": f"""WITH {_ONE}, r AS (SELECT item_key, {_ISSUES} AS i, {_WARNINGS} AS w FROM one) SELECT item_key, array_to_string(i, ',') AS issues, array_to_string(w, ',') AS warnings,
+ CASE WHEN len(i) > 0 THEN 'issues' WHEN len(w) > 0 THEN 'warnings' ELSE 'clean' END AS bucket FROM r""",
+    "item_summaries": rf"""WITH {_ONE} SELECT item_key, '[' || item_key || '] ' || coalesce(array_to_string(list_transform(list_filter(creators[1:3], lambda c: c.creatorType = 'author'), lambda c: coalesce(c.lastName, '')), ', ') || CASE WHEN len(creators) > 3 THEN ' et al.' ELSE '' END, '')
+ || ' (' || coalesce(nullif(regexp_extract(coalesce(pub_date, 'n.d.'), '(\d{{4}})', 1), ''), pub_date, 'n.d.') || ') "' || coalesce(title, 'Untitled') || '" [' || coalesce(item_type, '') || ']' AS summary FROM one""",
+    "keyword_search": f"""WITH {_ONE}, t AS (SELECT item_key, string_split({_words("concat_ws(' ', title, array_to_string(list_transform(coalesce(creators, []), lambda c: concat_ws(' ', c.firstName, c.lastName, c.name)), ' '), " + _YEAR("pub_date") + ")")}, ' ') AS w FROM one WHERE coalesce(item_type, '') <> 'attachment' AND NOT coalesce(deleted, FALSE))
+SELECT item_key, 2::BIGINT AS hits FROM t WHERE list_contains(w, 'survey') AND list_contains(w, 'harvest')""",
 }

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from collatrix.functions import text
@@ -34,8 +34,15 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_no (from 1, in file order), value of a text log in one file. Numbers need the file whole, so this is for log files, not tables."""
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("pos", "value")).select((F.col("pos") + 1).cast("long").alias("line_no"), "value")
+    """line_no (from 1, in file order), value of a text log in one file.
+
+    The file is read in splits; lines are counted per split (in file order), and numbers run inside each.
+    """
+    x = spark.read.text(path).select("value", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id"), F.col("_metadata.file_block_start").alias("at"))
+    sizes = x.groupBy("at").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per split
+    starts = sizes.select("at", "first", before.alias("start"))
+    return x.join(F.broadcast(starts), "at").select((F.col("start") + F.col("id") - F.col("first") + 1).alias("line_no"), "value")
 
 
 def _first(a: Column) -> Column:
@@ -100,7 +107,7 @@ def mime_type(suffix: Column) -> Column:
 
 # Entry types and fields of BibTeX in the library's terms.
 BIB_TYPES = {"article": "journalArticle", "book": "book", "inbook": "bookSection", "incollection": "bookSection", "inproceedings": "conferencePaper", "conference": "conferencePaper", "phdthesis": "thesis", "mastersthesis": "thesis", "techreport": "report", "misc": "document", "unpublished": "manuscript"}
-BIB_FIELDS = {"title": "title", "journal": "publicationTitle", "booktitle": "bookTitle", "year": "date", "volume": "volume", "number": "issue", "pages": "pages", "doi": "DOI", "publisher": "publisher", "address": "place", "url": "url", "isbn": "ISBN", "issn": "ISSN", "edition": "edition", "abstract": "abstractNote"}
+BIB_FIELDS = {"title": "title", "journal": "publicationTitle", "booktitle": "bookTitle", "year": "date", "volume": "volume", "number": "issue", "pages": "pages", "doi": "DOI", "publisher": "publisher", "address": "place", "url": "url", "isbn": "ISBN", "issn": "ISSN", "edition": "edition", "series": "series", "abstract": "abstractNote"}
 
 
 def _bib_entry(raw: str | None) -> dict | None:
@@ -127,32 +134,42 @@ def _bib_entry(raw: str | None) -> dict | None:
             v = re.compile(r"[^,}\s]*").match(raw, at)
             value, at = v[0], v.end()
         fields[f[1].lower()] = " ".join(value.split())
-    names = [n.strip() for n in re.split(r"\s+and\s+", fields.get("author", "")) if n.strip()]
     creators = []
-    for n in names:
-        last, comma, first = n.partition(",")
-        if not comma:
-            first, _, last = n.rpartition(" ")
-        creators.append({"firstName": first.strip(), "lastName": last.strip()})
-    values = {BIB_FIELDS[k]: v for k, v in fields.items() if k in BIB_FIELDS and v}
+    for role in ("author", "editor"):
+        for n in re.split(r"\s+and\s+", fields.get(role, "")):
+            last, comma, first = _plain_latex(n).partition(",")
+            if not comma:
+                first, _, last = last.rpartition(" ")
+            if first.strip() or last.strip():
+                creators.append({"creatorType": role, "firstName": first.strip(), "lastName": last.strip()})
+    values = {BIB_FIELDS[k]: _plain_latex(v) for k, v in fields.items() if k in BIB_FIELDS and v}
     if "pages" in values:
         values["pages"] = values["pages"].replace("--", "-")
-    return {"citekey": m[2], "item_type": BIB_TYPES.get(m[1].lower(), "document"), "fields": list(values.items()), "creators": creators}
+    return {"citekey": m[2], "item_type": BIB_TYPES.get(m[1].lower(), "journalArticle"), "fields": list(values.items()), "creators": creators}
+
+
+def _plain_latex(value: str) -> str:
+    """Without braces and the commands of emphasis; ties as spaces (as ``text.clean_latex``)."""
+    return re.sub(r"\\(?:textit|textbf|emph)\s*", "", re.sub(r"[{}]", "", value)).replace("~", " ").strip()
 
 
 def parse_bibtex(texts: DataFrame, column: str = "value") -> DataFrame:
-    """citekey, item_type, fields (map), creators of the first entry in each text; texts without one have no row."""
-    schema = "citekey string, item_type string, fields map<string,string>, creators array<struct<firstName: string, lastName: string>>"
+    """The other columns of ``texts`` with citekey, item_type, fields (map), creators of the first entry in each text; texts without one have no row.
+
+    A column of ``texts`` that is named like one of these is left out.
+    """
+    kind = "struct<citekey: string, item_type: string, fields: map<string,string>, creators: array<struct<creatorType: string, firstName: string, lastName: string>>>"
+    own = [c for c in texts.columns if c not in (column, "citekey", "item_type", "fields", "creators", "_bib")]
+    person = pa.struct([("creatorType", pa.string()), ("firstName", pa.string()), ("lastName", pa.string())])
+    entry = pa.struct([("citekey", pa.string()), ("item_type", pa.string()), ("fields", pa.map_(pa.string(), pa.string())), ("creators", pa.list_(person))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [r for r in map(_bib_entry, b.column(0).to_pylist()) if r]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r["citekey"] for r in rows], pa.string()), pa.array([r["item_type"] for r in rows], pa.string()), pa.array([r["fields"] for r in rows], pa.map_(pa.string(), pa.string())),
-                 pa.array([r["creators"] for r in rows], pa.list_(pa.struct([("firstName", pa.string()), ("lastName", pa.string())])))],
-                ["citekey", "item_type", "fields", "creators"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([_bib_entry(x) for x in b.column(b.num_columns - 1).to_pylist()], entry)], [*own, "_bib"])
 
-    return texts.select(F.col(column).cast("string").alias("value")).filter("value is not null").mapInArrow(run, schema)
+    picked = texts.select(*own, F.col(column).cast("string").alias("_bib")).filter("_bib is not null")
+    schema = ", ".join([*[f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in own], f"_bib {kind}"])
+    return picked.mapInArrow(run, schema).filter("_bib is not null").select(*own, "_bib.*")
 
 
 def header_record(texts: DataFrame, column: str = "value") -> DataFrame:

@@ -20,19 +20,25 @@ def windowed_counts(log: DataFrame, late: str = "2 days", width: str = "1 day")
 
 
 def upsert_latest(path: str):
-    """A ``foreachBatch`` writer that keeps the last line of each item, by append order, in a table at ``path``.
+    """A ``foreachBatch`` writer that keeps the latest line of each item, as ``audit.latest_per_item`` gives it, at ``path``.
 
-    A batch that is delivered again changes nothing, as the highest append_seq wins.
+    A line counts by its first append, whenever it is delivered again: the state at ``path`` holds (prov_id, first
+    append_seq) with the line's item and activity, one folder an epoch with the lines that are new or were appended
+    earlier than known; ``latest`` reads all epochs. An epoch that is delivered again replaces its own folder.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        new = batch.filter("item_key is not null").groupBy("item_key").agg(F.max_by(F.struct("append_seq", "activity"), "append_seq").alias("m")).select("item_key", "m.append_seq", "m.activity")
-        spark = batch.sparkSession
-        try:
-            old = spark.read.parquet(f"{path}/{epoch - 1}")
-        except Exception:  # the first epoch has nothing before it
-            old = new.limit(0)
-        both = old.unionByName(new).groupBy("item_key").agg(F.max_by(F.struct("append_seq", "activity"), "append_seq").alias("m")).select("item_key", "m.append_seq", "m.activity")
-        both.write.mode("overwrite").parquet(f"{path}/{epoch}")
+        cols = ["append_seq", "item_key", "activity"]
+        once = batch.filter("prov_id is not null").groupBy("prov_id").agg(F.min_by(F.struct(*cols), "append_seq").alias("r")).select("prov_id", "r.*")
+        once = once.unionByName(batch.filter("prov_id is null").select("prov_id", *cols))
+        once.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return write
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """item_key, append_seq, activity of the last line of each item over all epochs at ``path``."""
+    lines = spark.read.parquet(path)
+    cols = ["append_seq", "item_key", "activity"]
+    once = lines.filter("prov_id is not null").groupBy("prov_id").agg(F.min_by(F.struct(*cols), "append_seq").alias("r")).select("r.*").unionByName(lines.filter("prov_id is null").select(*cols))
+    return once.filter("item_key is not null").groupBy("item_key").agg(F.max_by(F.struct("append_seq", "activity"), "append_seq").alias("m")).select("item_key", "m.append_seq", "m.activity")

@@ -95,7 +95,6 @@ def test_pair_candidates_miss_no_pair(spark, sf):
         spark, {"title": "Pots near Mozudeth", "doi": "10.1/x"}, {"title": "Quite other words", "doi": "10.1/X ", "authors": ["Jones"]}, {"title": "Rivertrade inn Perru"}, {"title": "River trade in Peru", "authors": ["Smyth"]},
         {"title": "River trades in Perus", "authors": ["Li"]}, {"title": "River tradez in Peruz", "authors": ["Wu"]}, {"title": "?!", "authors": []}, {"title": "..", "authors": [None]}, {"title": None}, {"title": "River trade", "pub_date": None, "authors": [None]})
     for lib in (df, table(spark, sf, "items").limit(150)):
-        lib = lib.localCheckpoint()
         rec = dedup.latest(lib).select("item_key", F.struct("title", "doi", "pub_date", "creators").alias("r"))
         every = pairs.scored(rec.select(F.col("item_key").alias("key_a"), F.col("r").alias("a")).join(rec.select(F.col("item_key").alias("key_b"), F.col("r").alias("b")), F.col("key_a") < F.col("key_b")))
         for least in (0.65, 0.5):
@@ -171,15 +170,23 @@ def test_citekeys(spark):
 
 def test_log_counts_a_repeated_line_once(spark):
     schema = "append_seq long, prov_id string, activity string, agent string, item_key string, snapshot_id string, params string, ts timestamp, passed boolean"
-    rows = [(1, "p1", "snapshot", None, "A", "s", "{}", None, None), (2, "p2", "verify", None, "A", "s", "{bad", None, True), (3, "p2", "verify", None, "A", "s", "{bad", None, True), (4, "p3", "verify", None, None, "s", None, None, False), (5, None, "x", None, None, None, None, None, None), (6, None, "x", None, None, None, None, None, None)]
+    v = "commit_merge_verify"
+    rows = [(1, "p1", "snapshot", None, "A", "s", "{}", None, None), (2, "p2", v, None, "A", "s", "{bad", None, True), (3, "p2", v, None, "A", "s", "{bad", None, True), (4, "p3", v, None, None, "s", None, None, False), (5, None, "x", None, None, None, None, None, None), (6, None, "x", None, None, None, None, None, None)]
     log = spark.createDataFrame(rows, schema)
-    v = audit.verify_rates(log).first()
-    assert (v["verifies"], v["passed"], v["rate"]) == (2, 1, 0.5)
-    assert {r["activity"]: r["n"] for r in audit.activity_counts(log).collect()} == {"snapshot": 1, "verify": 2, "x": 2}
+    r = audit.verify_rates(log).first()
+    assert (r["verifies"], r["passed"], r["rate"]) == (2, 1, 0.5)
+    # other activities don't count; a reviewed failure leaves the rate but is reported
+    more = log.unionByName(spark.createDataFrame([(7, "p7", "other", None, None, "s", None, None, False), (8, "p8", "verify_failure_acknowledged", None, None, "s", None, None, None)], schema))
+    assert audit.verify_rates(more).first()["rate"] == 1.0
+    h = audit.health(more).first()
+    assert (h["verifies"], h["passed"], h["acknowledged"], h["rate"], h["status"]) == (1, 1, 1, 1.0, "ok")
+    assert audit.health(log).first()["status"] == "degraded"
+    assert audit.health(log.limit(0)).first()["status"] == "ok"
+    assert {r["activity"]: r["n"] for r in audit.activity_counts(log).collect()} == {"snapshot": 1, v: 2, "x": 2}
     c = audit.coverage(log).first()
     assert (c["repeated"], c["broken_params"], c["no_item"]) == (1, 2, 3)
     assert audit.unanswered(log, "snapshot", ["commit"], ["snapshot_id"]).count() == 1
-    assert audit.unanswered(log, "snapshot", ["verify"], ["snapshot_id"]).count() == 0
+    assert audit.unanswered(log, "snapshot", [v], ["snapshot_id"]).count() == 0
     assert audit.activity_counts(log.limit(0)).count() == 0
 
 
@@ -211,10 +218,12 @@ def test_landed_payloads(spark):
 
 
 def test_bibtex_and_files(spark, tmp_path):
-    bib = spark.createDataFrame([("@article{smith00, title = {The {DNA} of\n rivers}, author = {Smith, A. and Bea Ray}, pages = {1--9}, year = 2000}",), ("none",), (None,)], "value string")
-    r = landed.parse_bibtex(bib).collect()
-    assert len(r) == 1
-    assert r[0]["fields"] == {"title": "The {DNA} of rivers", "pages": "1-9", "date": "2000"}
+    bib = spark.createDataFrame([("k1", "@article{smith00, title = {The {DNA} of\n rivers}, author = {Smith, A. and Bea Ray}, pages = {1--9}, year = 2000}"), ("k2", "none"), ("k3", None), ("k4", "@odd{x, title = {T~U}, editor = {Poe, E.}}")], "item_key string, value string")
+    r = sorted(landed.parse_bibtex(bib).collect())
+    assert [(x["item_key"], x["item_type"]) for x in r] == [("k1", "journalArticle"), ("k4", "journalArticle")]
+    assert r[1]["fields"] == {"title": "T U"}
+    assert [(c["creatorType"], c["lastName"]) for c in r[1]["creators"]] == [("editor", "Poe")]
+    assert r[0]["fields"] == {"title": "The DNA of rivers", "pages": "1-9", "date": "2000"}
     assert [(c["firstName"], c["lastName"]) for c in r[0]["creators"]] == [("A.", "Smith"), ("Bea", "Ray")]
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "Smith - 2001 - Rivers.PDF").write_bytes(b"%PDF doi:10.1234/abc rest")
@@ -233,17 +242,71 @@ def test_stream_counts_equal_batch(spark, sf, tmp_path):
     log = table(spark, sf, "prov_log").select("append_seq", "prov_id", "activity", "agent", "item_key", "snapshot_id", "params", F.col("ts").cast("timestamp").alias("ts"), "passed")
     log.write.parquet(str(src))
     stream = log_tail.read(spark, str(src))
-    q = stream.writeStream.foreachBatch(log_tail.upsert_latest(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    last = max((tmp_path / "out").iterdir(), key=lambda p: int(p.name))
-    assert {tuple(r) for r in spark.read.parquet(str(last)).collect()} == {tuple(r) for r in audit.latest_per_item(log).collect()}
-    assert log_tail.windowed_counts(stream).isStreaming
-
-
-def test_every_query_runs(spark, sf):
+    # every line is delivered again in a later file, with a later append
+    log.withColumn("append_seq", F.col("append_seq") + 1_000_000).filter("prov_id is not null").write.mode("append").parquet(str(src))
+    want = {tuple(r) for r in audit.latest_per_item(log).collect()}
+    for _ in range(2):  # the second run finds nothing new
+        q = log_tail.read(spark, str(src), per_trigger=1).writeStream.foreachBatch(log_tail.upsert_latest(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert {tuple(r) for r in log_tail.latest(spark, str(tmp_path / "out")).collect()} == want
+    counts = log_tail.windowed_counts(stream, late="3650 days").writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
+    counts.awaitTermination(120)
+    got = {r["activity"]: r["n"] for r in spark.sql("select activity, sum(n) as n from counts group by activity").collect()}
+    assert got == {r["activity"]: r["n"] for r in audit.entries(log).filter("ts is not null").groupBy("activity").agg(F.count("*").alias("n")).collect()}
+
+
+def test_every_query_runs(spark, sf, tmp_path):
     from collatrix.plans import catalogue
 
     for name, q in catalogue.queries().items():
-        df = q(spark, sf)
-        assert df.columns, name
+        q(spark, sf).write.parquet(str(tmp_path / name))
     assert set(catalogue.oracle_sql()) <= set(catalogue.queries())
+
+
+def test_library_reads(spark):
+    from collatrix.operators import library
+
+    lib = items(spark, {"item_key": "A", "tags": [("x", 0)]}, {"item_key": "B", "deleted": True}, {"item_key": "C", "item_type": "report", "authors": ["Wu"]}, {"item_key": None})
+    assert [r["item_key"] for r in library.scan(lib).orderBy("item_key").collect()] == ["A", "C"]
+    assert [(r["position"], r["item_key"]) for r in library.page(library.scan(lib, trashed=True), 1, 5).collect()] == [(1, "B"), (2, "C")]
+    assert library.page(lib, 50, 5).count() == 0
+    assert library.point(lib, "C").first()["item_type"] == "report"
+    assert {r["field"] for r in library.details(library.point(lib, "A")).collect()} == {"item_type", "title", "pub_date"}
+    other = items(spark, {"item_key": "A", "tags": [("y", 1)]}, {"item_key": "C", "item_type": "report"})
+    got = {(r["item_key"], r["field"]): (r["only_a"], r["only_b"]) for r in library.set_differences(lib, other).filter("item_key in ('A', 'C')").collect()}
+    assert got == {("A", "tags"): ("x", "y"), ("C", "creators"): ("author/Wu/A/", "author/Smith/A/")}
+    docs = spark.createDataFrame([("A", "note", 3), ("A", "note", None), ("Z", "page", 1), (None, "page", 1)], "item_key string, kind string, n_chars long")
+    assert [tuple(r) for r in library.children(docs, lib).collect()] == [("A", "note", 2, 3)]
+    assert [tuple(r) for r in library.orphans(docs, lib).collect()] == [("Z", 1, 1)]
+    assert {r["item_key"] for r in library.childless(docs, lib).collect()} == {"B", "C"}
+    jobs = spark.createDataFrame([(1, ["b", "a", "b", None]), (2, [None]), (3, None)], "job_id long, member_keys array<string>")
+    found = spark.createDataFrame([(7, ["a", "b"]), (8, ["a"]), (9, None)], "cand_id long, item_keys array<string>")
+    assert [tuple(r) for r in library.same_members(jobs, found).collect()] == [(1, 7)]
+
+
+def test_files_tell_their_records(spark, tmp_path):
+    from collatrix.operators import ingest
+
+    md = spark.createDataFrame([("---\ntitle: \"T\"\nauthor: A\n---\n# H\ndoi 10.1234/abc.",), ("# Head line\ntext 10.1234/x.y.",), (None,)], "t string")
+    got = [(r["title"], r["author"], r["doi"]) for r in md.select(*[c.alias(k) for k, c in ingest.markdown_facts(F.col("t")).items()]).collect()]
+    assert got == [("T", "A", "10.1234/abc"), ("Head line", None, "10.1234/x.y"), (None, None, None)]
+    assert md.select(ingest.head_doi(F.lit("%PDF (10.1000/abc.)")).alias("d"), ingest.head_doi(F.lit("10.1000/a")).alias("e")).first()[:] == ("10.1000/abc.)", None)
+    path = tmp_path / "log.jsonl"
+    path.write_text("".join(f"line {i}\n" for i in range(1, 2001)))
+    rows = landed.read_lines(spark, str(path)).collect()
+    assert len(rows) == 2000
+    assert all(r["value"] == f"line {r['line_no']}" for r in rows)
+
+
+def test_transactions_are_told_apart(spark):
+    schema = "append_seq long, prov_id string, activity string, agent string, item_key string, snapshot_id string, params string, ts timestamp, passed boolean"
+    line = lambda n, a, s, k=None: (n, f"p{n}", a, None, k, s, None, None, None)
+    log = spark.createDataFrame([
+        line(1, "merge_txn_intent", "a"), line(2, "merge_txn_write", "a", "X"), line(3, "merge_txn_result", "a"), line(4, "merge_txn_intent", "b"), line(5, "merge_txn_write", "b", "X"), line(6, "merge_txn_write", "b", "Y"),
+        line(7, "merge_txn_write", "c", None), line(8, "merge_txn_result", "d"), line(9, "merge_txn_rolled_back", "d"), line(10, "snapshot_cluster", "e")], schema)
+    assert {(r["snapshot_id"], r["reason"]) for r in audit.unresolved(log).collect()} == {("b", "intent without an end"), ("c", "writes without an intent"), ("d", "end without an intent")}
+    assert {r["snapshot_id"]: r["state"] for r in audit.transaction_states(log).collect()} == {"a": "committed", "b": "written", "c": "written", "d": "torn", "e": "planned"}
+    assert {(r["snapshot_id"], r["item_key"]) for r in audit.open_writes(log).collect()} == {("b", "X"), ("b", "Y"), ("c", None)}
+    assert {(r["snapshot_id"], r["step"], r["item_key"]) for r in audit.inversion(log).collect()} == {("b", 1, "Y"), ("b", 2, "X"), ("c", 1, None)}
+    assert {r["gate"]: r["status"] for r in audit.readiness(log).collect()} == {"freshness": "fail", "log integrity": "pass", "open transactions": "fail", "verify rate": "pass"}
+    assert audit.unresolved(log.limit(0)).count() == 0
