@@ -1,10 +1,11 @@
 """Problem 7: visually identical text with different characters.
 
 Two forms of a text are made here. The *skeleton* serves comparison: the text is decomposed, every character is replaced
-by the prototype of its look-alike class, and the result is decomposed again; originals that look alike have equal
-skeletons. The *consistent form* serves storage: the text with each disguised character replaced by the plain one that
-belongs there, decided by the letters of the word and of the language around it; genuine text in any script, plain
-quotes and composed accents stay as they are. A value is a case of the problem where its consistent form differs.
+by the prototype of its look-alike class (the full public table, see ``confusables``), and the result is decomposed again;
+originals that look alike have equal skeletons. The *consistent form* serves storage: the text with each disguised
+character replaced by the plain one that belongs there, decided by the letters of the word and of the language around it;
+genuine text in any script, plain quotes and composed accents stay as they are. A value is a case of the problem where it
+differs from its consistent form and both have the same skeleton.
 """
 
 from __future__ import annotations
@@ -18,13 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Letters of Cyrillic and Greek and the Latin letters that look like them.
+from collatrix.llm.confusables import prototypes
+
+# Letters of Cyrillic and Greek and the Latin letters (of the same case) that they stand for in mixed words; some
+# are alike only in some fonts and so are no entries of the public table.
 CYRILLIC_AS_LATIN = dict(zip("АВЕЅІЈКМНОРСТУХҮԌаеѕіјорсухһԁԛԝѵӏгпкм", "ABESIJKMHOPCTYXYGaesijopcyxhdqwvlrnkm", strict=True))
 GREEK_AS_LATIN = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοναικρτυχγ", "ABEZHIKMNOPTYXovaikptuxy", strict=True))
 #: Only these stand for each other with the same shape; the rest of the table serves mixed words.
 TRUE_TWINS = set("АВЕЅІЈКМНОРСТУХаеѕіјорсухһԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧον")
-#: Digits and letters of one shape in many fonts, for the skeleton only.
-SKELETON_CLASSES = {"0": "O", "1": "l", "I": "l", "|": "l"}
 HYPHENS = "‐‑‒⁃−˗﹘﹣－᠆"
 LINE_ENDS = "  \x85"
 FILLERS = "͏ᅟᅠㅤﾠ឴឵"
@@ -108,33 +110,49 @@ def _compose(text: str) -> str:
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+@lru_cache(maxsize=50_000)
+def _as_latin(ch: str) -> str:
+    """The Latin letter that a letter of another script shows, or ''."""
+    known = CYRILLIC_AS_LATIN.get(ch) or GREEK_AS_LATIN.get(ch)
+    if known or _script(ch) != "X":
+        return known or ""
+    shown = prototypes().get(ch, "")
+    if len(shown) != 1 or not ("a" <= shown.lower() <= "z"):
+        return ""
+    return "I" if shown == "l" and ch.isupper() else shown
+
+
 def _own(word: str, script: str) -> int:
     """Letters of a script that no other script imitates."""
     if script == "L":
         return sum(_script(c) == "L" and c not in LATIN_TWINS for c in word)
+    if script == "X":
+        return sum(_script(c) == "X" and not _as_latin(c) for c in word)
     return sum(_script(c) == script and c not in TRUE_TWINS for c in word)
 
 
 def _respelled(word: str, around: str) -> str:
     """The word with the letters of one script only, where it holds letters of another posing as its own."""
-    scripts = {_script(c) for c in word} & set("LCG")
+    scripts = {_script(c) for c in word} & set("LCGX")
     if len(scripts) == 1:
         (only,) = scripts
         if not around or only == around or _own(word, only):
             return word
         if around == "L":
-            to = {"C": CYRILLIC_AS_LATIN, "G": GREEK_AS_LATIN}[only]
-        elif around == "C" and only == "L" and not ROMAN.fullmatch(word):
-            to = LATIN_AS_CYRILLIC
-        else:
-            return word
-        return "".join(to.get(c, c) for c in word)
+            # of scripts without case, too many letters are plain strokes to take a whole word for a disguise
+            posing = only in "CG" or (len(word) > 1 and all(c.lower() != c.upper() for c in word))
+            return "".join(_as_latin(c) or c for c in word) if posing else word
+        if around == "C" and only == "L" and not ROMAN.fullmatch(word):
+            return "".join(LATIN_AS_CYRILLIC.get(c, c) for c in word)
+        return word
     if len(scripts) < 2:
         return word
     own = {s: _own(word, s) for s in scripts}
     target = max(sorted(scripts), key=lambda s: (own[s] > 0, own[s], s == around, sum(_script(c) == s for c in word)))
+    if target == "X" and not own["X"]:
+        target = max(sorted(scripts - {"X"}), key=lambda s: (s == around, sum(_script(c) == s for c in word)))
     if target == "L":
-        return "".join(CYRILLIC_AS_LATIN.get(c) or GREEK_AS_LATIN.get(c) or c for c in word)
+        return "".join(_as_latin(c) or c for c in word)
     if target == "C":
         return "".join(LATIN_AS_CYRILLIC.get(c, c) for c in word)
     return word
@@ -158,8 +176,8 @@ def consistent_form(text: str | None, around: str = "") -> str | None:
 
 @lru_cache(maxsize=50_000)
 def _prototype(ch: str) -> str:
-    ch = _undressed(ch)
-    return "".join(SKELETON_CLASSES.get(y, y) for x in ch for y in [CYRILLIC_AS_LATIN.get(x) or GREEK_AS_LATIN.get(x) or x])
+    known = prototypes()
+    return "".join(known.get(y, y) for x in _undressed(ch) for y in [CYRILLIC_AS_LATIN.get(x) or GREEK_AS_LATIN.get(x) or x])
 
 
 def skeleton(text: str | None) -> str | None:
@@ -199,7 +217,9 @@ def consistent_forms(records: DataFrame) -> DataFrame:
             forms = []
             for values in b.column(2).to_pylist():
                 around = language_around(" ".join(v for v in values if v))
-                forms.append([consistent_form(v, around) for v in values])
+                plain = [consistent_form(v, around) for v in values]
+                # what is replaced must look the same
+                forms.append([f if v == f or skeleton(v) == skeleton(f) else v for v, f in zip(values, plain, strict=True)])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(forms, pa.list_(pa.string()))], ["rec_id", "field", "values", "forms"])
 
     done = rows.filter("odd").drop("odd").mapInArrow(run, "rec_id long, field string, values array<string>, forms array<string>")

@@ -69,14 +69,23 @@ def test_mixing_reaches_targets_and_caps(spark):
 
 @pytest.mark.parametrize(("given", "want"), [
     ("Fenvоmia", "Fenvomia"), ("A miсroscоpic survеy", "A microscopic survey"), ("Ｃａｌｋ", "Calk"), ("𝗈𝖿 x", "of x"), ("Do­lores", "Dolores"), ("a b", "a b"), ("1304‐1372", "1304-1372"),
-    ("élevage", "élevage"), ("ﬆatutes", "statutes"), ("Остревa", "Острева"), ("Part Ι", "Part I"),
+    ("élevage", "élevage"), ("ﬆatutes", "statutes"), ("Остревa", "Острева"), ("Part Ι", "Part I"), ("Ꭺpple", "Apple"), ("օne", "one"), ("ɑbc", "abc"),
 ])
 def test_disguised_characters(given, want):
     assert lookalikes.consistent_form(given) == want
     assert lookalikes.skeleton(given) == lookalikes.skeleton(want)
 
 
-@pytest.mark.parametrize("plain", ["Élevage côtier “x” – y…", "Керамика близ Острева, XIX [sic]", "杜瓦林水利，1146", "هل كان", "भूमिका", "", "x" * 100_000, "नु‍क्ता"])
+def test_the_whole_public_table_is_used():
+    from collatrix.llm.confusables import prototypes
+
+    assert len(prototypes()) > 6000
+    for a, b in (("modern", "modem"), ("Ꭺpple", "Apple"), ("օne", "one"), ("paypal", "раураl"), ("l0ve", "IOve")):
+        assert lookalikes.skeleton(a) == lookalikes.skeleton(b)
+    assert lookalikes.skeleton("apple") != lookalikes.skeleton("angle")
+
+
+@pytest.mark.parametrize("plain", ["Արմեն Սարգսյան", "ᏣᎳᎩ", "اه", "Ɛwe", "Élevage côtier “x” – y…", "Керамика близ Острева, XIX [sic]", "杜瓦林水利，1146", "هل كان", "भूमिका", "", "x" * 100_000, "नु‍क्ता"])
 def test_genuine_text_is_no_case(plain):
     assert lookalikes.consistent_form(plain) == plain
 
