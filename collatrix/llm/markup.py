@@ -3,7 +3,8 @@
 A value is parsed into one tree whatever its markup: block nodes (headings, paragraphs, list items, code, formulas, table
 rows) inside containers, with the kinds of markup met on the way. Paragraphs then pass points for their length and their
 commas to their ancestors, halved at each step up and discounted by the share of text that stands in links; the best
-container and those siblings that score near it are kept, and the rest (navigation, boilerplate) is left out. What is
+container and its siblings, up to the root, are kept unless they are mostly links (navigation) and score low, so that no
+section is lost for being short. What is
 kept is rendered as blocks with their kind and as plain text. A value with no block structure is one container and is
 kept whole. Signs used as signs, footnote stars, editorial brackets and web addresses are no markup.
 """
@@ -390,11 +391,14 @@ def _score(root: Node) -> list[Node]:
     best = max(containers, key=lambda c: c.score)
     near = max(2.0, best.score * 0.2)
     kept = {id(best)}
-    top = best.parent
-    for sibling in top.children if top is not None else []:
-        words = sibling.words
-        if sibling.score >= near or (not sibling.children and sibling.kind != "container" and len(words) > 0 and sibling.linked * 2 < len(words) + 1):
-            kept.add(id(sibling))
+    # from the best container up, its siblings: those that score near it, and those that aren't mostly links; in a field of a
+    # record a short section is content like a long one
+    here = best
+    while here.parent is not None:
+        for sibling in here.parent.children:
+            if sibling is not here and (sibling.score >= near or not _mostly_links(sibling)):
+                kept.add(id(sibling))
+        here = here.parent
 
     def inside(n: Node) -> bool:
         while n is not None:
@@ -406,6 +410,18 @@ def _score(root: Node) -> list[Node]:
     return [x for x in leaves if inside(x)]
 
 
+def _mostly_links(node: Node) -> bool:
+    """Whether half of the characters below a node or more stand in links."""
+    linked = total = 0
+    stack = [node]
+    while stack:
+        n = stack.pop()
+        stack += n.children
+        linked += n.linked
+        total += len("".join(n.text))
+    return linked * 2 >= total > 0
+
+
 def clean(value: str | None) -> tuple[list[dict], str | None, list[str]]:
     """(blocks, text, kinds): the structure kept, the plain text and the markup that was there.
 
@@ -456,5 +472,5 @@ def clean_fields(items: DataFrame) -> DataFrame:
 
 
 def marked_up(items: DataFrame) -> DataFrame:
-    """p5_found: item_key, field of the values that hold markup, one row each."""
-    return clean_fields(items).filter(F.size("kinds") > 0).select("item_key", "field").distinct()
+    """p5_found: item_key, field of the values that hold markup, one row each: those whose kept text, as the tree gives it, isn't the value."""
+    return clean_fields(items).filter((F.size("kinds") > 0) & ~F.col("text").eqNullSafe(F.col("value"))).select("item_key", "field").distinct()

@@ -115,6 +115,27 @@ def test_plain_signs_are_no_markup(v):
     assert markup.clean(v)[1:] == (v, [])
 
 
+def test_no_section_is_lost_for_being_short():
+    long = "A long background, with commas, and with more words than any other part of it. " * 6
+    value = f"<jats:abstract><jats:sec><jats:title>Background</jats:title><jats:p>{long}</jats:p></jats:sec><jats:sec><jats:title>Results</jats:title><jats:p>No effect was found.</jats:p></jats:sec></jats:abstract><p>Trial 7.</p><nav><a href='#'>home</a></nav>"
+    blocks, text, _ = markup.clean(value)
+    assert [b["text"] for b in blocks] == ["Background", long.strip(), "Results", "No effect was found.", "Trial 7."]
+    assert "home" not in text
+
+
+def test_share_of_words_kept(spark, sf):
+    """Of the words of all marked-up values without tags, commands and entities, nearly all are in the clean text."""
+    import re
+
+    kept = total = 0
+    for r in markup.clean_fields(spark.read.parquet(f"{sf}/items.parquet")).filter("size(kinds) > 0").collect():
+        plain = re.sub(r"<[^>]*>|&[#\w]+;|\\\\[A-Za-z]+|https?://\S+|[{}$]", " ", r["value"])
+        words, have = re.findall(r"[^\W\d_]{4,}", plain), r["text"].replace("\n", " ")
+        total += len(words)
+        kept += sum(w in have for w in words)
+    assert kept / total > 0.98, kept / total
+
+
 def test_structure_is_kept(spark):
     html = "<div><p>" + "A long paragraph, with commas, and words, that matter a lot. " * 4 + "</p><h2>Head</h2><ul><li>one</li><li>two</li></ul><pre>x = 1\n  y</pre></div><nav><a href='#'>home</a> <a href='#'>about</a></nav>"
     blocks, _, _ = markup.clean(html)
