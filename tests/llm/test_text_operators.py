@@ -46,6 +46,10 @@ def test_survivors(spark):
     assert rec["s"]["fields"]["volume"] == "4"
     assert rec["n"]["fields"] is None
     assert survivor.surviving_sources(df.limit(0)).count() == 0
+    # trust comes before recency, completeness before trust
+    trust = spark.createDataFrame([("A", 2.0), ("Y", 1.0), (None, 9.0)], "item_key string, trust double")
+    got = {(r["snapshot_id"], r["field"]): r["source_key"] for r in survivor.surviving_sources(df, trust).collect()}
+    assert (got["s", "volume"], got["s", "title"], got["s", "publisher"], got["s", "master"], got["n", "master"]) == ("A", "A", "C", "A", "Y")
 
 
 def test_mixing_reaches_targets_and_caps(spark):
