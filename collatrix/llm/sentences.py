@@ -6,27 +6,28 @@ Japanese, Hindi) are cut at their own marks. Thai, which separates sentences and
 the space stands between an end that also ends paragraphs and a start that also starts them. Lines with a meaning of
 their own (headings, list items, captions, front matter, fenced blocks) are units before any of this.
 
-The statistics reach the workers as a broadcast. It has a proven bound: an entry needs a share of SHARE of the events of
-its language, so a language has at most 1 / SHARE entries of a kind, whatever the number of documents.
+One pass over the texts counts types and the words after periods; what is an abbreviation, a starter or a collocation is
+worked out on these counts, joined exactly and in the cluster. Only what passes the tests reaches the workers, as a broadcast
+with a proven bound: an entry needs a share of SHARE of the events of its language, so a language has at most 1 / SHARE entries
+of a kind, whatever the number of documents.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import pairwise
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from collatrix.session import stage
 
-#: Least share of a language's events that an entry of the statistics must have.
-SHARE = 2e-5
+#: Least share of a language's events that an entry of the broadcast must have; the counts themselves are never cut.
+SHARE = 1e-6
 # Thresholds of the published unsupervised method.
 ABBREVIATION_SCORE = 0.3
 STARTER_RATIO = 30.0
@@ -76,7 +77,7 @@ _SPEECH = re.compile(r"^[^。！？：“”\s]{0,8}[说問问道写寫答喊叫
 
 def language_of(text: str) -> str:
     """Language by script, and by function words for the Latin script; the table's lang column may be missing or wrong."""
-    n = {k: len(p.findall(text)) * w for k, p, w in _SCRIPTS}
+    n = {k: len(p.findall(text)) * w for k, p, w in (_SCRIPTS[:1] if text.isascii() else _SCRIPTS)}
     best = max(n, key=lambda k: n[k])
     if not n[best]:
         return "en"
@@ -135,6 +136,7 @@ def _is_item(text: str, lines: list[tuple[int, int]], i: int, prose: tuple[int,
     return bool(mark) and before.endswith((".", ":", ";", "!", "?"))
 
 
+@lru_cache(maxsize=1 << 17)
 def word_type(token: str) -> str:
     """The type a token counts as: lower case but for single letters, numbers alike, without quotes, brackets and final period."""
     t = token.strip(OPENERS + CLOSERS + ",;:!?…؟،؛।॥|")
@@ -147,39 +149,47 @@ def word_type(token: str) -> str:
     return t if len(t) == 1 else t.lower()
 
 
+@lru_cache(maxsize=1 << 17)
+def _facts(text: str) -> tuple[str, bool, bool, bool, bool]:
+    """type, period, stops, upper, lower of a word: whether it ends with a period of its own or with another mark, and how it begins."""
+    t, kind = text.rstrip(CLOSERS), word_type(text)
+    c = text.lstrip(OPENERS)[:1]
+    return kind, t.endswith(".") and not t.endswith("..") and bool(kind), t.endswith(("!", "?", "؟")), c.isalpha() and not c.islower(), c.islower()
+
+
 class Token:
     """A word of a block with what the classifier asks about it."""
 
-    __slots__ = ("bare", "end", "start", "text", "type")
+    __slots__ = ("bare", "end", "lower", "period", "start", "stops", "text", "type", "upper")
 
     def __init__(self, text: str, start: int) -> None:
         self.text, self.start, self.end = text, start, start + len(text)
         self.bare = text.lstrip(OPENERS)
-        self.type = word_type(text)
-
-    @property
-    def period(self) -> bool:
-        t = self.text.rstrip(CLOSERS)
-        return t.endswith(".") and not t.endswith("..") and bool(self.type)
-
-    @property
-    def stops(self) -> bool:
-        return self.text.rstrip(CLOSERS).endswith(("!", "?", "؟"))
-
-    @property
-    def upper(self) -> bool:
-        """Upper case, or a letter of a script without case."""
-        c = self.bare[:1]
-        return c.isalpha() and not c.islower()
-
-
-def tokens_of(text: str, a: int, b: int) -> list[Token]:
-    """Words of a block; signs without any letter or digit (emoji, dashes) are passed over."""
-    out = [Token(m[0], m.start()) for m in _TOKEN.finditer(text, a, b) if _WORDLY.search(m[0])]
-    for x, y in pairwise(out):
-        if x.type == "##" and len(y.type) < 4 and y.type.isalpha() and y.type.islower() and not x.period:
-            y.type = "##" + y.type  # a unit of measure or of time
-    return out
+        self.type, self.period, self.stops, self.upper, self.lower = _facts(text)
+
+
+class Tokens:
+    """The words of a block, each looked at only when it is asked for; signs without any letter or digit (emoji, dashes) are passed over."""
+
+    def __init__(self, text: str, a: int, b: int) -> None:
+        self.spans = [(m[0], m.start()) for m in _TOKEN.finditer(text, a, b) if _WORDLY.search(m[0])]
+
+    def __len__(self) -> int:
+        return len(self.spans)
+
+    def kind(self, i: int) -> str:
+        """The type of a word; a short word after a bare number is a unit of measure or of time."""
+        t = _facts(self.spans[i][0])[0]
+        if i and len(t) < 4 and t.isalpha() and t.islower():
+            before = _facts(self.spans[i - 1][0])
+            if before[0] == "##" and not before[1]:
+                return "##" + t
+        return t
+
+    def __getitem__(self, i: int) -> Token:
+        out = Token(*self.spans[i])
+        out.type = self.kind(i)
+        return out
 
 
 def is_initial(t: str) -> bool:
@@ -283,7 +293,8 @@ def _jammed(text: str, a: int, b: int, i: int, j: int, mark: str, lang: str, mod
 
 def _candidates(text: str, a: int, b: int, lang: str, model: Model) -> list[int]:
     """Ends of sentences by their marks alone, quotations and brackets not yet considered."""
-    toks = tokens_of(text, a, b)
+    toks = Tokens(text, a, b)
+    at = [(x, x + len(t)) for t, x in toks.spans]
     ends = []
     k = 0
     for m in (_DANDA if lang == "hi" else _END).finditer(text, a, b):
@@ -308,9 +319,9 @@ def _candidates(text: str, a: int, b: int, lang: str, model: Model) -> list[int]
             ends.append(j)
             continue
         spaced = text[j].isspace()
-        while k < len(toks) and toks[k].end <= i:
+        while k < len(toks) and at[k][1] <= i:
             k += 1
-        here = toks[k] if k < len(toks) and toks[k].start <= i < toks[k].end else None
+        here = toks[k] if k < len(toks) and at[k][0] <= i < at[k][1] else None
         q = k + 1 if here else k
         nxt = toks[q] if q < len(toks) else None
         if not spaced:
@@ -432,8 +443,9 @@ def _cut(text: str, a: int, b: int, lang: str, model: Model) -> list[int]:
 
 
 # -- learning -----------------------------------------------------------------------------------------------------
-def count_types(text: str, into: Counter) -> None:
-    """First pass: how often each type stands with (P) and without (N) a final period, and edges of Thai paragraphs."""
+def count(text: str, into: Counter) -> None:
+    """The one pass: how often each type stands with (P) and without (N) a final period; types after other sure ends (S); the words
+    after each word with a period, by how they begin (U upper case, L lower case, O other); edges of Thai paragraphs."""
     lang = language_of(text)
     if lang in ("zh", "ja"):
         return
@@ -446,61 +458,45 @@ def count_types(text: str, into: Counter) -> None:
                 into["th", "head", head_of(text, chunks, 0), ""] += 1
                 into["th", "tail", tail_of(text, chunks, len(chunks) - 1), ""] += 1
             continue
-        for tok in tokens_of(text, a, b):
-            if tok.type:
-                into[lang, "P" if tok.period else "N", tok.type, ""] += 1
-
-
-def count_contexts(text: str, model: Model, into: Counter) -> None:
-    """Second pass: types after sure ends (S), all types (T), and the words after abbreviations and numbers (C; U if upper case)."""
-    lang = language_of(text)
-    if lang in ("zh", "ja", "th"):
-        return
-    for a, b, prose in blocks(text):
-        if not prose:
-            continue
-        toks = tokens_of(text, a, b)
-        for i, tok in enumerate(toks):
-            into[lang, "T", tok.type, ""] += 1
-            nxt = toks[i + 1] if i + 1 < len(toks) else None
-            if nxt is None or not (tok.period or tok.stops):
-                continue
-            if tok.stops:
-                if not nxt.bare[:1].islower():
-                    into[lang, "S", nxt.type, ""] += 1
+        toks = Tokens(text, a, b)
+        last = len(toks) - 1
+        for i in range(last + 1):
+            _, period, stops, _, _ = _facts(toks.spans[i][0])
+            kind = toks.kind(i)
+            into[lang, "P" if period else "N", kind, ""] += 1
+            if i == last or not (period or stops):
                 continue
-            if tok.type == "##" or is_initial(tok.type) or model.abbreviated(lang, tok.type):
-                into[lang, "C", tok.type, nxt.type] += 1
-                if nxt.upper or nxt.bare[:1] in "¿¡":
-                    into[lang, "U", tok.type, nxt.type] += 1
-            elif not nxt.bare[:1].islower():
-                into[lang, "S", nxt.type, ""] += 1
+            _, _, _, upper, lower = _facts(toks.spans[i + 1][0])
+            if not stops:
+                into[lang, "U" if upper else "L" if lower else "O", kind, toks.kind(i + 1)] += 1
+            elif not lower:
+                into[lang, "S", "", toks.kind(i + 1)] += 1
 
 
-def _ll(k: float, n: float, p: float) -> float:
-    p = min(max(p, 1e-12), 1 - 1e-12)
-    return k * math.log(p) + (n - k) * math.log(1 - p)
+def _ll(k: Column, n: Column, p: Column) -> Column:
+    p = F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12))
+    return k * F.log(p) + (n - k) * F.log(1 - p)
 
 
-def ratio(count_a: float, count_b: float, count_ab: float, n: float) -> float:
+def ratio(count_a: Column, count_b: Column, count_ab: Column, n: Column) -> Column:
     """Dunning's log-likelihood ratio of b following a."""
     p, p1 = count_b / n, count_ab / count_a
-    p2 = (count_b - count_ab) / max(n - count_a, 1)
+    p2 = (count_b - count_ab) / F.greatest(n - count_a, F.lit(1))
     return -2 * (_ll(count_ab, count_a, p) + _ll(count_b - count_ab, n - count_a, p) - _ll(count_ab, count_a, p1) - _ll(count_b - count_ab, n - count_a, p2))
 
 
-def abbreviation_score(t: str, with_period: int, without: int, n_periods: float, n: float) -> float:
+def abbreviation_score(t: Column, with_period: Column, without: Column, n_periods: Column, n: Column) -> Column:
     """Score of a type: likelihood that its period is its own, by length, inner periods and occurrences without one."""
-    a, ab = with_period + without, with_period
-    p1, p2 = n_periods / n, 0.99
-    like = -2 * (_ll(ab, a, p1) - _ll(ab, a, p2))
-    letters = len(re.sub(r"[\W\d_]", "", t)) or len(t)
-    inner = t.count(".") + 1
-    return like * math.exp(-letters) * inner * letters ** -float(without)
+    a = with_period + without
+    like = -2 * (_ll(with_period, a, n_periods / n) - _ll(with_period, a, F.lit(0.99)))
+    only = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
+    letters = F.when(only > 0, only).otherwise(F.length(t)).cast("double")
+    inner = F.length(t) - F.length(F.replace(t, F.lit("."))) + 1
+    return like * F.exp(-letters) * inner * F.pow(letters, -without.cast("double"))
 
 
-def _counted(docs: DataFrame, count) -> DataFrame:
-    """lang, kind, a, b, n: what ``count(text, Counter)`` finds in all texts, added up per slice before the shuffle."""
+def _counted(docs: DataFrame) -> DataFrame:
+    """lang, kind, a, b, n: what ``count`` finds in all texts, added up per slice before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -518,71 +514,56 @@ def _counted(docs: DataFrame, count) -> DataFrame:
     return rows.groupBy("lang", "kind", "a", "b").agg(F.sum("n").alias("n"))
 
 
-def _bounded(counts: DataFrame) -> tuple[list, dict]:
-    """Rows with at least SHARE of the events of their language and kind (at most 1 / SHARE of each), and the totals."""
-    totals = counts.groupBy("lang", "kind").agg(F.sum("n").alias("total"))
-    kept = counts.join(F.broadcast(totals), ["lang", "kind"]).filter(F.col("n") >= F.col("total") * SHARE)  # totals: kinds x languages
-    return kept.drop("total").collect(), {(r["lang"], r["kind"]): r["total"] for r in totals.collect()}
-
-
 def learn(docs: DataFrame) -> Model:
-    """The statistics of all documents; two passes over the texts, counts only are shuffled."""
+    """The statistics of all documents; one pass over the texts, counts only are shuffled, and only entries that pass are collected."""
     model = Model()
-    types = stage(_counted(docs, count_types), "p10-types")
-    # Types that ever stand with a period come with their count without one; the rest only adds to the totals.
-    seen = types.filter("kind = 'P'").select("lang", "a")
-    rows, totals = _bounded(types.filter("kind in ('P', 'head', 'tail')"))
-    without = types.filter("kind = 'N'").join(seen, ["lang", "a"], "left_semi")
-    all_n = {(r["lang"], r["kind"]): r["s"] for r in types.groupBy("lang", "kind").agg(F.sum("n").alias("s")).collect()}
-    bare, _ = _bounded(without.withColumn("kind", F.lit("P")))
-    no_period = {(r["lang"], r["a"]): r["n"] for r in bare}
-    for r in rows:
-        if r["kind"] == "head":
-            model.heads.add(r["a"])
-        elif r["kind"] == "tail":
-            model.tails.add(r["a"])
-        elif r["a"] != "##":
-            lang, t = r["lang"], r["a"]
-            n_p = all_n.get((lang, "P"), 0)
-            n = n_p + all_n.get((lang, "N"), 0)
-            if re.search(r"[^\W\d_]", t) and not re.search(r"[:/\\@<>|]", t) and abbreviation_score(t, r["n"], no_period.get((lang, t), 0), n_p, n) >= ABBREVIATION_SCORE:
-                model.abbreviations[lang].add(t)
-    sc = docs.sparkSession.sparkContext
-    first = sc.broadcast(model)
-    contexts = stage(_counted(docs, lambda text, into: count_contexts(text, first.value, into)), "p10-contexts")
-    after, totals = _bounded(contexts.filter("kind in ('S', 'C', 'U')"))
-    wanted = contexts.filter("kind in ('S', 'C')").select("lang", F.when(F.col("kind") == "S", F.col("a")).otherwise(F.col("b")).alias("a")).distinct()
-    plain = contexts.filter("kind = 'T'").join(wanted, ["lang", "a"], "left_semi")
-    of_type = {(r["lang"], r["a"]): r["n"] for r in _bounded(plain)[0]}
-    sizes = {(r["lang"], r["kind"]): r["s"] for r in contexts.groupBy("lang", "kind").agg(F.sum("n").alias("s")).collect()}
-    for r in after:
-        if r["kind"] == "S" and r["a"] and not is_initial(r["a"]):
-            lang, n = r["lang"], sizes.get((r["lang"], "T"), 1)
-            ends, total = sizes[lang, "S"], of_type.get((r["lang"], r["a"]), r["n"])
-            if total >= r["n"] and r["n"] / ends > total / n and ratio(ends, total, r["n"], n) >= STARTER_RATIO:
-                model.starters[lang].add(r["a"])
-    before = Counter()
-    upper, started = Counter(), Counter()
-    for r in after:
-        if r["kind"] == "C":
-            before[r["lang"], r["a"]] += r["n"]
-        elif r["kind"] == "U":
-            upper[r["lang"], r["a"]] += r["n"]
-            if r["b"] in model.starters[r["lang"]] and not is_initial(r["b"]):
-                started[r["lang"], r["a"]] += r["n"]
-    for r in after:
-        if r["kind"] == "C" and r["b"]:
-            lang, n = r["lang"], sizes.get((r["lang"], "T"), 1)
-            total = max(of_type.get((lang, r["b"]), r["n"]), r["n"])
-            a_n = before[lang, r["a"]]
-            if r["a"] == "##" and r["n"] <= 0.5 * total:
-                continue  # an ordinal's word ("3. Mai") seldom stands elsewhere
-            if r["n"] > 1 and total < n and r["n"] / a_n > total / n and ratio(a_n, total, r["n"], n) >= COLLOCATION_RATIO:
-                model.collocations[lang].add((r["a"], r["b"]))
-    for (lang, t), n in upper.items():
-        # An abbreviation that is mostly followed by sentence starters, when by upper case at all, can end sentences.
-        if not t == "##" and started[lang, t] > 0.5 * n:
-            model.enders[lang].add(t)
+    counts = stage(_counted(docs), "p10-counts")
+    initial = lambda c: (F.length(c) == 1) & F.col(c).rlike(r"\p{L}")
+    often = lambda n, total: F.col(n) >= F.col(total) * SHARE
+    edges = counts.filter("kind in ('head', 'tail')")
+    edges = edges.join(edges.groupBy("kind").agg(F.sum("n").alias("all")), "kind").filter(often("n", "all"))
+    for r in edges.select("kind", "a").collect():
+        (model.heads if r["kind"] == "head" else model.tails).add(r["a"])
+
+    words = counts.filter("kind in ('P', 'N')")
+    types = words.groupBy("lang", "a").agg(F.sum(F.when(F.col("kind") == "P", F.col("n")).otherwise(0)).alias("p"), F.sum("n").alias("t"))
+    types = stage(types, "p10-types")
+    sums = stage(types.groupBy("lang").agg(F.sum("p").alias("all_p"), F.sum("t").alias("all_t"), F.sum(F.when(F.col("a") != "", F.col("t")).otherwise(0)).alias("typed")), "p10-sums")
+    score = abbreviation_score(F.col("a"), F.col("p"), F.col("t") - F.col("p"), F.col("all_p"), F.col("typed"))
+    short = types.filter((F.col("p") > 0) & (F.col("a") != "##") & F.col("a").rlike(r"\p{L}") & ~F.col("a").rlike(r"[:/\\@<>|]")).join(sums, "lang")
+    short = stage(short.filter((score >= ABBREVIATION_SCORE) & often("p", "all_p")).select("lang", "a"), "p10-abbreviations")
+    for r in short.collect():
+        model.abbreviations[r["lang"]].add(r["a"])
+
+    # the words after periods: of abbreviations, initials and numbers (C), and those that begin sentences (S)
+    after = counts.filter("kind in ('U', 'L', 'O')")
+    known, tail = short.withColumn("known", F.lit(True)), short.select("lang", F.col("a").alias("end"), F.lit(True).alias("ended"))
+    after = after.withColumn("end", F.when(F.col("a").contains("-"), F.substring_index("a", "-", -1))).join(known, ["lang", "a"], "left").join(tail, ["lang", "end"], "left")
+    after = stage(after.select("lang", "kind", "a", "b", "n", ((F.col("a") == "##") | initial("a") | F.coalesce("known", "ended", F.lit(False))).alias("open")), "p10-after")
+    starts = after.filter("not open and kind <> 'L'").select("lang", "b", "n").unionByName(counts.filter("kind = 'S'").select("lang", "b", "n"))
+    starts = stage(starts.groupBy("lang", "b").agg(F.sum("n").alias("s")), "p10-starts")
+    all_s = starts.groupBy("lang").agg(F.sum("s").alias("all_s"))
+    of_b = types.select("lang", F.col("a").alias("b"), "t")
+    s = starts.filter((F.col("b") != "") & ~initial("b")).join(of_b, ["lang", "b"]).join(all_s, "lang").join(sums, "lang")
+    s = s.filter((F.col("t") >= F.col("s")) & (F.col("s") / F.col("all_s") > F.col("t") / F.col("all_t")) & often("s", "all_s"))
+    s = stage(s.filter(ratio(F.col("all_s"), F.col("t"), F.col("s"), F.col("all_t")) >= STARTER_RATIO).select("lang", "b"), "p10-starters")
+    for r in s.collect():
+        model.starters[r["lang"]].add(r["b"])
+
+    pairs = after.filter("open").groupBy("lang", "a", "b").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("kind") == "U", F.col("n")).otherwise(0)).alias("u"))
+    pairs = stage(pairs, "p10-pairs")
+    of_a = pairs.groupBy("lang", "a").agg(F.sum("n").alias("a_n"))
+    all_c = pairs.groupBy("lang").agg(F.sum("n").alias("all_c"))
+    c = pairs.filter("b <> '' and n > 1").join(of_a, ["lang", "a"]).join(of_b, ["lang", "b"]).join(sums, "lang").join(all_c, "lang").withColumn("t", F.greatest("t", "n"))
+    # an ordinal's word ("3. Mai") seldom stands elsewhere
+    c = c.filter(~((F.col("a") == "##") & (F.col("n") <= 0.5 * F.col("t"))) & (F.col("t") < F.col("all_t")) & (F.col("n") / F.col("a_n") > F.col("t") / F.col("all_t")) & often("n", "all_c"))
+    for r in c.filter(ratio(F.col("a_n"), F.col("t"), F.col("n"), F.col("all_t")) >= COLLOCATION_RATIO).select("lang", "a", "b").collect():
+        model.collocations[r["lang"]].add((r["a"], r["b"]))
+    # An abbreviation that is mostly followed by sentence starters, when by upper case at all, can end sentences.
+    begun = pairs.filter("a <> '##'").join(s.withColumn("starts", F.lit(True)), ["lang", "b"], "left")
+    begun = begun.groupBy("lang", "a").agg(F.sum("u").alias("u"), F.sum(F.when(F.col("starts"), F.col("u")).otherwise(0)).alias("started"), F.sum("n").alias("n")).join(all_c, "lang")
+    for r in begun.filter((F.col("u") > 0) & (F.col("started") > 0.5 * F.col("u")) & often("n", "all_c")).select("lang", "a").collect():
+        model.enders[r["lang"]].add(r["a"])
     return model
 
 
