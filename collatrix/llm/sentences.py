@@ -47,13 +47,13 @@ for _l, _ws in FUNCTION_WORDS.items():
 
 # Ranges of the scripts; Kana decide between Japanese and Chinese, Latin words are usual guests elsewhere.
 _SCRIPTS = [
-    ("latin", re.compile(r"[A-Za-zÀ-ɏ]"), 0.4),
-    ("ja", re.compile(r"[぀-ヿ]"), 5.0),
-    ("zh", re.compile(r"[一-鿿]"), 1.0),
-    ("th", re.compile(r"[฀-๿]"), 1.0),
-    ("hi", re.compile(r"[ऀ-ॿ]"), 1.0),
-    ("ar", re.compile(r"[؀-ۿ]"), 1.0),
-    ("ru", re.compile(r"[Ѐ-ӿ]"), 1.0),
+    ("latin", re.compile(r"[A-Za-zÀ-ɏ]+"), 0.4),
+    ("ja", re.compile(r"[぀-ヿ]+"), 5.0),
+    ("zh", re.compile(r"[一-鿿]+"), 1.0),
+    ("th", re.compile(r"[฀-๿]+"), 1.0),
+    ("hi", re.compile(r"[ऀ-ॿ]+"), 1.0),
+    ("ar", re.compile(r"[؀-ۿ]+"), 1.0),
+    ("ru", re.compile(r"[Ѐ-ӿ]+"), 1.0),
 ]
 
 OPENERS = "“„«‘‚\"'([{¿¡「『《（【‹—–"
@@ -77,7 +77,7 @@ _SPEECH = re.compile(r"^[^。！？：“”\s]{0,8}[说問问道写寫答喊叫
 
 def language_of(text: str) -> str:
     """Language by script, and by function words for the Latin script; the table's lang column may be missing or wrong."""
-    n = {k: len(p.findall(text)) * w for k, p, w in (_SCRIPTS[:1] if text.isascii() else _SCRIPTS)}
+    n = {k: sum(map(len, p.findall(text))) * w for k, p, w in (_SCRIPTS[:1] if text.isascii() else _SCRIPTS)}
     best = max(n, key=lambda k: n[k])
     if not n[best]:
         return "en"
@@ -245,11 +245,14 @@ class Model:
 _PAIRS = {"“": "”", "«": "»", "„": "“”", "「": "」", "『": "』", "‘": "’", "(": ")", "（": "）", "《": "》"}
 
 
+_MARKS = re.compile("[" + "".join(map(re.escape, sorted({*_PAIRS, *"".join(_PAIRS.values()), '"'}))) + "]")
+
+
 def _spans(text: str, a: int, b: int) -> list[tuple[int, int, bool]]:
     """(open, close, is quotation) of the pairs that close inside the block."""
     out, stack, straight = [], [], None
-    for i in range(a, b):
-        ch = text[i]
+    for m in _MARKS.finditer(text, a, b):
+        i, ch = m.start(), m[0]
         if stack and ch in _PAIRS[text[stack[-1]]]:
             if ch == "’" and i + 1 < b and text[i + 1].isalpha() and text[i - 1].isalpha():
                 continue
@@ -296,7 +299,7 @@ def _candidates(text: str, a: int, b: int, lang: str, model: Model) -> list[int]
     toks = Tokens(text, a, b)
     at = [(x, x + len(t)) for t, x in toks.spans]
     ends = []
-    k = 0
+    k, n = 0, len(at)
     for m in (_DANDA if lang == "hi" else _END).finditer(text, a, b):
         i, j = m.start(), m.end()
         mark = m[0]
@@ -319,11 +322,11 @@ def _candidates(text: str, a: int, b: int, lang: str, model: Model) -> list[int]
             ends.append(j)
             continue
         spaced = text[j].isspace()
-        while k < len(toks) and at[k][1] <= i:
+        while k < n and at[k][1] <= i:
             k += 1
-        here = toks[k] if k < len(toks) and at[k][0] <= i < at[k][1] else None
+        here = toks[k] if k < n and at[k][0] <= i < at[k][1] else None
         q = k + 1 if here else k
-        nxt = toks[q] if q < len(toks) else None
+        nxt = toks[q] if q < n else None
         if not spaced:
             if text[j] in ",;:،؛—–-":
                 continue
