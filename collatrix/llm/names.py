@@ -197,7 +197,10 @@ def similarity_of_given(a: str, b: str, given: Given) -> float:
 
 
 def compare(a: dict, b: dict, weight_a: list[float], weight_b: list[float], given: Given) -> tuple[float, int]:
-    """(similarity, relation): 0 no match, 2 equal detail, -1 a has less detail than b, 1 b has less detail than a."""
+    """(similarity, relation): 0 no match, 2 equal detail, -1 a has less detail than b, 1 b has less detail than a.
+
+    ``weight_a``, ``weight_b``: weights of the family parts; ``a`` and ``b`` may hold those of their given names (``rarity``), else these weigh alike.
+    """
     if a["kind"] != b["kind"]:
         return 0.0, 0
     if a["kind"] == "o":
@@ -232,14 +235,20 @@ def compare(a: dict, b: dict, weight_a: list[float], weight_b: list[float], give
             return 0.0, 0
         if len(ga[i]) != len(gb[i]) and 1 in (len(ga[i]), len(gb[i])):
             less |= 1 if len(ga[i]) == 1 else 2
-        total += 2.0
-        got += 2.0 * s
+        w = max(_at(a.get("rarity"), i), _at(b.get("rarity"), i))
+        total += w
+        got += w * s
     score = (fs * wf + got) / (wf + total)
     if score < THRESHOLD:
         return score, 0
     return score, {0: 2, 1: -1, 2: 1, 3: 3}[less]
 
 
+def _at(weights: list[float] | None, i: int) -> float:
+    """Weight of a given name; one of which nothing is known weighs as an ordinary one."""
+    return weights[i] if weights and i < len(weights) else 2.0
+
+
 def _same_org_token(x: str, y: str) -> float:
     if x == y:
         return 1.0
@@ -276,8 +285,9 @@ def _compare_orgs(a: dict, b: dict, weight_a: list[float], weight_b: list[float]
             rest.remove(hit)
         letters = short["given"][0][1:]
         return (0.8, relation) if sorted(w[0] for w in rest) == sorted(letters) else (0.0, 0)
-    if len(a["family"]) != len(b["family"]):
-        return 0.0, 0
+    swap = len(a["family"]) > len(b["family"])
+    if swap:
+        a, b, weight_a, weight_b = b, a, weight_b, weight_a
     left = list(range(len(b["family"])))
     total = got = 0.0
     for i in sorted(range(len(a["family"])), key=lambda i: -weight_a[i]):
@@ -290,8 +300,11 @@ def _compare_orgs(a: dict, b: dict, weight_a: list[float], weight_b: list[float]
         w = max(weight_a[i], weight_b[j])
         total += w
         got += w * s
-    score = got / total
-    return (score, 2) if score >= THRESHOLD else (score, 0)
+    # words that one form has more: frequent ones take little of the similarity, rare ones all
+    score = got / (total + sum(weight_b[j] for j in left))
+    if score < THRESHOLD:
+        return score, 0
+    return score, 2 if not left else 1 if swap else -1
 
 
 # -- the operator -------------------------------------------------------------------------------------------------
@@ -401,7 +414,10 @@ def linked_forms(names: DataFrame, records: DataFrame | None) -> tuple[DataFrame
     # weights of the tokens of each form, rare ones higher
     sized = one.select("sig", F.posexplode("family").alias("i", "t")).join(df, "t", "left").groupBy("sig").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce(weight, F.lit(1.0)).alias("w")))), lambda x: x["w"]).alias("weights"))
-    full = one.select("sig", "kind", "family", "whole", "given").join(sized, "sig")
+    called = one.select("sig", F.posexplode("given").alias("i", "t"))
+    known = called.groupBy("t").agg(F.count("*").alias("df"))
+    called = called.join(known, "t").groupBy("sig").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", weight.alias("w")))), lambda x: x["w"]).alias("rarity"))
+    full = one.select("sig", "kind", "family", "whole", "given").join(called, "sig", "left").select("sig", "kind", "family", "whole", "given", "rarity").join(sized, "sig")
     fa = full.select(F.col("sig").alias("a"), *(F.col(c).alias(f"{c}_a") for c in full.columns[1:]))
     fb = full.select(F.col("sig").alias("b"), *(F.col(c).alias(f"{c}_b") for c in full.columns[1:]))
 
@@ -410,8 +426,8 @@ def linked_forms(names: DataFrame, records: DataFrame | None) -> tuple[DataFrame
         for b in batches:
             keep: list[tuple] = []
             for a_, b_, *v in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                x, y = dict(zip(("kind", "family", "whole", "given"), v[:4], strict=True)), dict(zip(("kind", "family", "whole", "given"), v[5:9], strict=True))
-                score, relation = compare(x, y, v[4], v[9], g)
+                x, y = (dict(zip(("kind", "family", "whole", "given", "rarity"), part, strict=True)) for part in (v[:5], v[6:11]))
+                score, relation = compare(x, y, v[5], v[11], g)
                 if relation:
                     keep.append((a_, b_, score, relation))
             cols = list(zip(*keep, strict=True)) if keep else [(), (), (), ()]
