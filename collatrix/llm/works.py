@@ -163,7 +163,9 @@ def match_words(a: list[str], b: list[str], cut_a: bool, cut_b: bool) -> tuple[i
     hits = sum(n for w, n in both.items() if w not in STOP)
     la, lb = list((ca - both).elements()), list((cb - both).elements())
     if la and lb:
-        for x in list(la):
+        # a word needs one with its first or second letter at the beginning to be alike, as it stands or as scanned text confuses it
+        heads = {w[0] for w in lb} | {w[1] for w in lb if len(w) > 1} | {_confused(w)[0] for w in lb}
+        for x in [x for x in la if x[0] in heads or x[1:2] in heads or _confused(x)[0] in heads]:
             y = next((y for y in lb if _alike(x, y)), None)
             if y is not None:
                 la.remove(x)
@@ -225,9 +227,7 @@ def same_work(a: dict, b: dict, given, trusted: bool = True) -> float:
         left_a, left_b = [], []  # one character more, less or other changes up to three pairs of characters
     content = lambda r: [w for w in r["m"] if w not in STOP]
     ma, mb = content(a), content(b)
-    creators = creators_fit(a["c"], b["c"], given)
     gap = abs(a["y"] - b["y"]) if a["y"] and b["y"] else None
-    venue = venue_fits(a["v"], b["v"])
     generic = min(len(ma), len(mb)) <= 2 and max(len(a["w"]), len(b["w"])) <= 3
     if not a["w"] or not b["w"] or generic:
         # no title to speak of: everything else must agree
@@ -235,7 +235,10 @@ def same_work(a: dict, b: dict, given, trusted: bool = True) -> float:
             return 0.0
         if doi:
             return 0.95
-        if (doi is False and trusted) or creators is None or creators < 1.0 or (gap or 0) > 1 or venue is False or (gap is None and not venue):
+        if (doi is False and trusted) or (gap or 0) > 1:
+            return 0.0
+        creators, venue = creators_fit(a["c"], b["c"], given), venue_fits(a["v"], b["v"])
+        if creators is None or creators < 1.0 or (gap or 0) > 1 or venue is False or (gap is None and not venue):
             return 0.0
         full = len(a["c"]) == len(b["c"])
         if not (a["w"] and b["w"]):
@@ -256,12 +259,16 @@ def same_work(a: dict, b: dict, given, trusted: bool = True) -> float:
         return 0.0
     if doi is False and trusted:
         return 0.0
+    if not doi and gap is not None and gap > 2:
+        return 0.0
+    creators = creators_fit(a["c"], b["c"], given)  # dear, so last
     if doi:
         return 0.97 if (creators is None or creators > 0) and cover >= 0.5 else 0.0
     if creators == 0.0:
         return 0.0
     if gap is not None and gap > (2 if hits >= 4 and creators == 1.0 and not left_a and not left_b else 1):
         return 0.0
+    venue = venue_fits(a["v"], b["v"])
     score = 0.45 + 0.25 * min(cover, 1.0)
     if creators is None:
         score -= 0.1 if venue and gap == 0 else 0.3
