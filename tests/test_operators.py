@@ -103,6 +103,45 @@ def test_pair_candidates_miss_no_pair(spark, sf):
             assert {tuple(r) for r in pairs.candidates(lib, least).collect()} == want
 
 
+def test_pairs_of_hot_blocks_meet_only_if_titles_are_near(spark, monkeypatch):
+    import random
+    from difflib import SequenceMatcher
+
+    from collatrix.operators import reach
+
+    draw = random.Random(3)
+    words = ["river", "trade", "pots", "kilns", "memory", "harvest", "coast", "песни", "水利工程", "a"]
+    titles = [" ".join(draw.choices(words, k=draw.choice([1, 4, 7, 8, 14]))) for _ in range(40)]
+    titles += [t[:3] + draw.choice("xyz") + t[5:] for t in titles[:20]] + ["", "", "e" * 300, "e" * 290, "e" * 150, "𝒳" * 40]
+    rows = [(f"K{i:03}", 0, t, draw.choice([2000, 2001, 2005, None]), (n := draw.choice([1, 1, 2, 3])), draw.randint(1, n)) for i, t in enumerate(titles)]
+    df = spark.createDataFrame(rows, "item_key string, block int, t string, year int, n int, hits int")
+
+    def score(a, b):
+        gap = None if a[3] is None or b[3] is None else abs(a[3] - b[3])
+        date = 0 if gap is None or gap > 1 else 1 - gap / 2
+        return 0.55 * SequenceMatcher(None, a[2], b[2]).ratio() + 0.3 * a[5] / max(a[4], b[4]) + 0.15 * date
+
+    scores = {(a[0], b[0]): score(a, b) for i, a in enumerate(rows) for b in rows[i + 1 :]}
+    monkeypatch.setattr(reach, "TASKS", 4)
+    for least, tile in ((0.65, 2000), (0.65, 9), (0.4, 20)):
+        monkeypatch.setattr(reach, "TILE", tile)
+        found = [tuple(r) for r in reach.in_blocks(df, least, 1.0).collect()]
+        assert len(found) == len(set(found))
+        assert {p for p, s in scores.items() if s >= least} <= set(found)
+    # other titles of a block without names don't get as far as the ratio
+    plain = spark.createDataFrame([(f"K{i:03}", 0, "".join(draw.choices("abcdefghijklmnop ", k=60)), 2000 + 3 * i, 1, 1) for i in range(100)], df.schema)
+    assert reach.in_blocks(plain, 0.65, 1.0).count() < 50  # of 4950
+
+
+def test_like_names_miss_none(spark):
+    from difflib import SequenceMatcher
+
+    base = ["li", "wu", "abc", "abcd", "smith", "smyth", "smithe", "garcia", "garzia", "garciaa", "aaaaaaaa", "aaaaaaa", "niskebrosic", "niskebrozic", "niskebrosi", "niskebrosik", "iskebrosic", "meyer lindenberg", "meyer lindenburg", "meyerlindenberg", "x" * 300, "x" * 290]
+    base += [("konstantinopolitanischer dudelsackpfeifer" * 2)[:k] for k in (29, 30, 31, 33, 36, 40, 50)] + ["konstantinopolitanische dudelsackpfeifer von wu", ""]
+    got = {tuple(r) for r in pairs._like_names(spark.createDataFrame([(x,) for x in base], "name string")).collect()}
+    assert {(x, y) for x in base for y in base if SequenceMatcher(None, x, y).ratio() > 0.85} <= got
+
+
 def test_agreement(spark):
     lib = items(spark, {"item_key": "A", "doi": "10.1/a", "publication_title": "J"}, {"item_key": "B", "doi": "10.1/b"}, {"item_key": "C", "doi": None})
     schema = "rec_id long, source string, title string, year string, doi string, container_title string, item_type string, creators array<struct<creatorType string, firstName string, lastName string, name string>>"
