@@ -133,6 +133,14 @@ def test_pairs_of_hot_blocks_meet_only_if_titles_are_near(spark, monkeypatch):
     assert reach.in_blocks(plain, 0.65, 1.0).count() < 50  # of 4950
 
 
+def test_top_pairs_of_a_block_without_names(spark):
+    df = items(spark, *({"title": f"Pots of {'abcdefgh'[i % 8] * 9} {'klmnopqr'[i // 8] * 9}", "pub_date": str(1900 + i % 3), "authors": [None]} for i in range(40)))
+    found = pairs.candidates(df)
+    order = sorted((-r["score"], r["key_a"], r["key_b"]) for r in found.collect())
+    assert len(order) > 20
+    assert [(-r["score"], r["key_a"], r["key_b"]) for r in pairs.top(found).collect()] == order[:20]
+
+
 def test_like_names_miss_none(spark):
     from difflib import SequenceMatcher
 
